@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.session import cut, remove, scratch, ship, table
@@ -132,17 +132,18 @@ def _fine(span: int, stride: int):
 
     def run(batches):
         for b in batches:
-            hs, rows = [], []
+            hs, rows, starts = [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 at = np.asarray(b.column(3)[i].values).astype(np.int64)
                 s = np.unique((at[:, None] - np.arange(0, stride + 1)[None]).ravel())
                 s = s[(s >= 0) & (s <= len(t) - span)]
                 if len(s):
-                    hs.append(np.unique(windows(codes(t), span)[s]))
-                    rows.append(np.full(len(hs[-1]), i))
+                    hs.append(windows(codes(t), span)[s])
+                    starts.append(s)
+                    rows.append(np.full(len(s), i))
             if hs:
                 rows = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows)], names=["h", "id", "field"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(starts).astype(np.int32))], names=["h", "id", "field", "start"])
 
     return run
 
@@ -182,14 +183,27 @@ class Shared:
         # A shared narrow window and no shared whole one: the span is shorter than span + stride, or none. All its windows are tried.
         narrow = self.matched.where("kind = 1")
         asked = narrow.join(sure, ["id", "field"], "left_anti").select("h").distinct()
-        near = narrow.join(asked, "h", "left_semi").groupBy("id", "field").agg(F.collect_set("start").alias("starts"))
-        fine = cut(self.texts.join(near, ["id", "field"]).select("id", "field", "text", "starts").mapInArrow(_fine(self.span, self.stride), "h long, id long, field byte"))
-        more = fine.join(_elsewhere(fine, "h"), "h", "left_semi").select("id", "field").distinct()
+        more = self._tried(asked).select("id", "field").distinct()
         return cut(sure.unionByName(more.join(sure, ["id", "field"], "left_anti")))
 
+    def _tried(self, asked: DataFrame) -> DataFrame:
+        """(id, field, start) of the whole windows around the asked narrow ones, in all texts that have these, that stand under another id too."""
+        narrow = self.matched.where("kind = 1")
+        near = narrow.join(asked, "h", "left_semi").groupBy("id", "field").agg(F.collect_set("start").alias("starts"))
+        fine = cut(self.texts.join(near, ["id", "field"]).select("id", "field", "text", "starts").mapInArrow(_fine(self.span, self.stride), "h long, id long, field byte, start int"))
+        return fine.join(_elsewhere(fine, "h"), "h", "left_semi").select("id", "field", "start")
+
     def coverage(self) -> DataFrame:
-        """(id, field, shared_chars, spans): characters that the shared windows cover, and in how many stretches. An end is placed at the window tried next to it, less than `stride` characters inside."""
-        starts = self.matched.where("kind = 0").groupBy("id", "field").agg(F.array_sort(F.collect_set("start")).alias("s"))
+        """(id, field, shared_chars, spans): characters that shared windows cover, and in how many stretches. Exact: within a shared stretch the
+        narrow windows tried follow each other closely, so where they break off is an end, and there all whole windows are tried."""
+        beside = Window.partitionBy("id", "field").orderBy("start")
+        gap = self.stride + 1
+        ends = (
+            self.matched.where("kind = 1").withColumn("before", F.col("start") - F.lag("start").over(beside)).withColumn("after", F.lead("start").over(beside) - F.col("start"))
+            .where((F.coalesce("before", F.lit(gap + 1)) > gap) | (F.coalesce("after", F.lit(gap + 1)) > gap)).select("h").distinct()
+        )
+        found = self.matched.where("kind = 0").select("id", "field", "start").unionByName(self._tried(ends))
+        starts = found.groupBy("id", "field").agg(F.array_sort(F.collect_set("start")).alias("s"))
         span = self.span
         step = F.aggregate(
             "s",
@@ -220,9 +234,9 @@ def shared_fields(df: DataFrame, key: str, fields: list[str], span: int = 200) -
     return out.select(F.col("id").alias(key), name.alias("field"))
 
 
-def shared_amount(df: DataFrame, key: str, fields: list[str], span: int = 200, stride: int = 8) -> DataFrame:
+def shared_amount(df: DataFrame, key: str, fields: list[str], span: int = 200) -> DataFrame:
     """For every record and field: chars, shared_chars (in spans of at least `span` found elsewhere), share and spans. Cases as in shared_fields(); a null or empty text has 0 of 0 characters."""
-    s = Shared(df, key, fields, span, stride)
+    s = Shared(df, key, fields, span)
     parts = cut(s.coverage())
     s.close()
     each = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("field"), F.lit(f).alias("name"), F.coalesce(F.length(f), F.lit(0)).alias("chars")) for i, f in enumerate(fields))))
