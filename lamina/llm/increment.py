@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.variants import _set, _test, positions
-from lamina.session import cut, parallelism, remove, scratch, ship, table
+from lamina.llm.variants import _set, _test, plain_filter, positions, repeated_filter
+from lamina.session import cut, remove, scratch, ship, table
 
 RUN = 3
 WINDOW = 4
@@ -42,14 +42,17 @@ def runs_of(words: list[str], hashes: np.ndarray) -> np.ndarray:
 
 
 def winnow(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints (least hash of each window of WINDOW runs; every run of a short text) and the number of windows each stands for."""
+    """Places of the fingerprints among the runs (least hash of each window of WINDOW runs; every run of a short text) and the number of windows each stands for."""
     if len(runs) <= SHORT:
-        return runs, np.ones(len(runs), np.int32)
+        return np.arange(len(runs), dtype=np.int32), np.ones(len(runs), np.int32)
     least = runs[: len(runs) - WINDOW + 1]
     for i in range(1, WINDOW):
         least = np.minimum(least, runs[i : len(runs) - WINDOW + 1 + i])
     prints, cover = np.unique(least, return_counts=True)
-    return prints, cover.astype(np.int32)
+    order = np.argsort(runs)
+    at = order[np.searchsorted(runs[order], prints)]
+    sort = np.argsort(at)
+    return at[sort].astype(np.int32), cover[sort].astype(np.int32)
 
 
 def _fingerprint(batches):
@@ -66,23 +69,23 @@ def _fingerprint(batches):
             for words in texts:
                 runs = runs_of(words, hashes[start : start + len(words)])
                 start += len(words)
-                prints, cover = winnow(runs)
+                chosen, cover = winnow(runs)
                 mark = xxhash.xxh3_128_digest(np.sort(runs).tobytes()) if len(runs) else None
-                out.append((len(runs), mark, runs.view(np.int64), prints.view(np.int64), cover))
+                out.append((len(runs), mark, runs.view(np.int64), chosen, cover))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), *(pa.array([x[i] for x in out], pa.list_(t)) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int32())))],
-                names=["id", "at", "n", "mark", "runs", "prints", "cover"],
+                [part.column(0), part.column(1), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), *(pa.array([x[i] for x in out], pa.list_(t)) for i, t in ((2, pa.int64()), (3, pa.int32()), (4, pa.int32())))],
+                names=["id", "at", "n", "mark", "runs", "chosen", "cover"],
             )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (id LONG, at DOUBLE, text) with n different runs, mark (a hash of their set), runs, prints and cover."""
+    """docs (id LONG, at DOUBLE, text) with n different runs, mark (a hash of their set), the runs, which of them are fingerprints (chosen), and how many windows each of these covers."""
     ship(docs.sparkSession)
-    return docs.select("id", "at", "text").mapInArrow(_fingerprint, "id long, at double, n int, mark binary, runs array<long>, prints array<long>, cover array<int>")
+    return docs.select("id", "at", "text").mapInArrow(_fingerprint, "id long, at double, n int, mark binary, runs array<long>, chosen array<int>, cover array<int>")
 
 
 class FingerprintStore:
-    """What was accepted so far, in a folder: postings (part, print, id), docs (id, at, runs) and a Bloom filter for each part.
+    """What was accepted so far, in a folder: postings (part, print, id, at) of accepted texts, docs (the runs of all texts, by version) and a Bloom filter for each part.
 
     `parts` and `bits` (of one part's filter, a power of two) are set once;
     about ten bits for each fingerprint expected in a part keep false
@@ -109,8 +112,13 @@ class FingerprintStore:
     def part(self, column):
         return F.pmod(F.shiftright(column, 7), F.lit(self.parts)).cast("int")
 
+    def stage(self, prints: DataFrame) -> DataFrame:
+        """Writes a batch's fingerprints as the next version and reads them back."""
+        prints.write.parquet(f"{self.path}/docs/version={self.version + 1}")
+        return self.spark.read.parquet(f"{self.path}/docs/version={self.version + 1}")
+
     def screen(self, prints: DataFrame) -> DataFrame:
-        """The rows of distinct prints (print) that the filters may know."""
+        """(part, print) of the distinct prints that the filters may know."""
         log = self.bits.bit_length() - 1
 
         def probe(left, right):
@@ -120,51 +128,80 @@ class FingerprintStore:
             h = left.column("print").to_numpy().view(np.uint64)
             return left.filter(pa.array(_test(bitmap, positions(h, log)).all(axis=0)))
 
-        rows = prints.select(self.part(F.col("print")).alias("part"), "print")
+        # Copies of one print fall together before they are shuffled by part.
+        rows = prints.select(self.part(F.col("print")).alias("part"), "print").distinct()
         return rows.groupBy("part").cogroup(self.filters().groupBy("part")).applyInArrow(probe, "part int, print long")
 
     def add(self, accepted: DataFrame) -> None:
-        """Takes in accepted texts (id, at, runs, prints) and brings the filters up to date; the old filters stay until the new are written."""
+        """Takes in the postings of accepted texts (id, at, runs, chosen) and brings the filters up to date; the old filters stay until the new are written."""
         log, size = self.bits.bit_length() - 1, self.bits // 8
-        accepted.select("id", "at", "runs").write.parquet(f"{self.path}/docs/version={self.version + 1}")
-        postings = accepted.select("id", "at", F.explode("prints").alias("print")).select(self.part(F.col("print")).alias("part"), "print", "id", "at")
+        prints = F.transform("chosen", lambda i: F.element_at("runs", i + 1))
+        postings = accepted.select("id", "at", F.explode(prints).alias("print")).select(self.part(F.col("print")).alias("part"), "print", "id", "at")
         postings.repartition(self.parts, "part").sortWithinPartitions("part", "print").write.partitionBy("part").parquet(f"{self.path}/postings/version={self.version + 1}")
 
         def build(key, new, old):
             bitmap = np.zeros(size, np.uint8) if not old.num_rows else np.frombuffer(old.column("filter")[0].as_buffer(), np.uint8).copy()
             if new.num_rows:
-                _set(bitmap, positions(new.column("print").to_numpy().view(np.uint64), log).ravel())
+                _set(bitmap, positions(np.unique(new.column("print").to_numpy().view(np.uint64)), log).ravel())
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([bitmap.tobytes()], pa.binary())})
 
-        fresh = self.spark.read.parquet(f"{self.path}/postings/version={self.version + 1}").select(F.col("part").cast("int").alias("part"), "print").distinct()
+        fresh = self.spark.read.parquet(f"{self.path}/postings/version={self.version + 1}").select(F.col("part").cast("int").alias("part"), "print")
         old = self.spark.createDataFrame([], "part int, filter binary") if self.empty else self.filters()
         fresh.groupBy("part").cogroup(old.groupBy("part")).applyInArrow(build, "part int, filter binary").write.parquet(f"{self.path}/filters/{self.version + 1}")
         self.version += 1
 
 
-def _candidates(asking: DataFrame, exploded: DataFrame, known: DataFrame, counts: DataFrame, other: str, inside: bool) -> DataFrame:
-    """(id, at, other) candidate pairs: each text asks by its rarest fingerprints, as many as stand for more windows than edits may touch."""
+def _shared_prints(reps: DataFrame, filters: list) -> DataFrame:
+    """Rows (id, at, n, windows, print, cover) of those fingerprints that a filter holds; the others, which no other text has, leave only their part in `windows`."""
+    shared = reps.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for b in batches:
+            runs, chosen, cover = b.column(3), b.column(4), b.column(5)
+            h = np.concatenate([np.asarray(r.values)[np.asarray(c.values)] for r, c in zip(runs, chosen)]) if b.num_rows else np.zeros(0, np.int64)
+            c = np.asarray(cover.flatten())
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(cover.offsets)))
+            windows = np.bincount(row, c, b.num_rows).astype(np.int32)
+            keep = np.zeros(len(h), bool)
+            for bits, bitmap in shared.value:
+                keep |= _test(bitmap, positions(h.view(np.uint64), bits)).all(axis=0)
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), b.column(2).take(row), pa.array(windows).take(row), pa.array(h[keep]), pa.array(c[keep])], names=["id", "at", "n", "windows", "print", "cover"])
+
+    return reps.select("id", "at", "n", "runs", "chosen", "cover").mapInArrow(run, "id long, at double, n int, windows int, print long, cover int")
+
+
+def _candidates(asking: DataFrame, known: DataFrame, counts: DataFrame, inside: bool) -> DataFrame:
+    """(id, at, other, other_at) candidate pairs: each text asks by its rarest fingerprints, as many as stand for more windows than edits may touch."""
     rare = Window.partitionBy("id").orderBy("df", "print").rowsBetween(Window.unboundedPreceding, -1)
-    shared = exploded.join(counts, "print")
     every = Window.partitionBy("id")
     # What no other text has can't find one, but stands for windows that are gone.
     picked = (
-        shared.withColumn("lone", F.col("windows") - F.sum("cover").over(every))
+        asking.join(counts, "print")
+        .withColumn("lone", F.col("windows") - F.sum("cover").over(every))
         .withColumn("before", F.coalesce(F.sum("cover").over(rare), F.lit(0)) + F.col("lone"))
         .where((F.col("before") <= F.col("windows") * TOUCHED + MORE) | (F.col("n") <= SHORT))
         .select("id", "at", "print")
     )
-    theirs = known.select("print", F.col("id").alias(other), F.col("at").alias("other_at"))
-    pairs = picked.join(theirs, "print")
+    pairs = picked.join(known.select("print", F.col("id").alias("other"), F.col("at").alias("other_at")), "print")
     if inside:
-        pairs = pairs.where(F.struct("other_at", other) < F.struct("at", "id"))
-    return pairs.select("id", "at", other, "other_at").distinct()
+        pairs = pairs.where(F.struct("other_at", "other") < F.struct("at", "id"))
+    return cut(pairs.select("id", "at", "other", "other_at").distinct())
+
+
+def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df whose id may be in the one column of keys: a bounded Bloom filter spares the rest a shuffle."""
+    from lamina.llm.variants import may_repeat
+
+    hashed = keys.select(F.xxhash64(F.col(keys.columns[0]).cast("long")).alias("h"))
+    probe = may_repeat(df.sparkSession, *plain_filter(hashed, keys.count()))
+    return df.where(probe(F.xxhash64("id")))
 
 
 def _verify(pairs: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """The pairs of which SHARED of the different runs of either are in both."""
-    a = pairs.join(mine.select("id", F.col("runs").alias("ra")), "id")
-    b = a.join(theirs.select(F.col("id").alias("other"), F.col("runs").alias("rb")), "other")
+    a = pairs.join(_among(mine.select("id", F.col("runs").alias("ra")), pairs.select("id").distinct()), "id")
+    b = a.join(_among(theirs.select("id", F.col("runs").alias("rb")), pairs.select("other").distinct()).withColumnRenamed("id", "other"), "other")
     both = F.size(F.array_intersect("ra", "rb"))
     return b.withColumn("both", both).where(F.col("both") >= SHARED * (F.size("ra") + F.size("rb") - F.col("both"))).select("id", "at", "other", "other_at")
 
@@ -172,8 +209,8 @@ def _verify(pairs: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
 def _resolve(pairs: DataFrame) -> DataFrame:
     """(id, other): in the order of (at, id), a text with an accepted partner before it is a duplicate of the first such; else it is accepted.
 
-    Works off the order in rounds: a text is settled once all its partners
-    are; as partners are earlier, each round settles at least the first.
+    Works off the order in rounds: a text is settled once the earliest of its
+    partners is; as partners are earlier, each round settles at least the first.
     """
     open_ = cut(pairs)
     done = None
@@ -185,7 +222,7 @@ def _resolve(pairs: DataFrame) -> DataFrame:
         found = cut(state.where(F.col("sure").isNotNull() & (F.col("sure") == F.col("first"))).select("id", F.col("sure.other").alias("other")))
         if found.isEmpty():
             return done if done is not None else found
-        done = found if done is None else cut(done.unionByName(found))
+        done = found if done is None else done.unionByName(found)
         # Settled duplicates ask no more and are no partner; whose partners are all gone is accepted.
         gone = found.select("id")
         open_ = cut(open_.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti").select("id", "at", "other", "other_at"))
@@ -199,33 +236,32 @@ def ingest(docs: DataFrame, store: FingerprintStore) -> DataFrame:
     a fingerprint; null ids are left out; exact copies of one another are
     compared once; equal `at` go by id; an empty batch changes nothing.
     """
-    every = cut(fingerprints(docs.where("id is not null")).where("n > 0"))
+    every = store.stage(fingerprints(docs.where("id is not null")).where("n > 0"))
     # Exact copies: one stands for all. The rest follow it, or what it is a duplicate of.
-    firsts = every.groupBy("mark").agg(F.min(F.struct("at", "id")).alias("f"))
-    lead = firsts.select("mark", F.col("f.id").alias("lead"))
-    reps = every.join(lead.select(F.col("lead").alias("id")), "id", "left_semi")
-    exploded = reps.select("id", "at", "n", F.aggregate("cover", F.lit(0), lambda a, x: a + x).alias("windows"), F.explode(F.arrays_zip("prints", "cover")).alias("p")).select("id", "at", "n", "windows", F.col("p.prints").alias("print"), F.col("p.cover").alias("cover"))
-    own = cut(exploded.groupBy("print").agg(F.count(F.lit(1)).alias("own")))
+    lead = cut(every.groupBy("mark").agg(F.min(F.struct("at", "id")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("mark", F.col("f.id").alias("lead")))
+    copies = cut(every.select("id", "mark").join(lead, "mark").where("id != lead").select("id", "lead"))
+    reps = every.join(copies, "id", "left_anti")
+    prints = reps.select(F.explode(F.transform("chosen", lambda i: F.element_at("runs", i + 1))).alias("print"))
+    again = repeated_filter(prints, int(every.agg(F.sum(F.size("chosen"))).first()[0] or 0))
+    filters = [again]
+    if not store.empty:
+        positive = cut(store.screen(prints))
+        filters.append(plain_filter(positive.select("print"), positive.count()))
+    shared = cut(_shared_prints(reps, filters))
     known = None
     if not store.empty:
-        positive = cut(store.screen(own.select("print")))
-        history = store.postings()
-        held = history.join(positive, ["part", "print"], "left_semi")
-        old = held.groupBy("print").agg(F.count(F.lit(1)).alias("df"))
-        pairs = _candidates(reps, exploded, history, old, "other", False)
+        held = cut(store.postings().join(positive, ["part", "print"], "left_semi").select("print", "id", "at"))
+        pairs = _candidates(shared, held, held.groupBy("print").agg(F.count(F.lit(1)).alias("df")), False)
         hits = _verify(pairs, reps, store.docs())
         known = cut(hits.groupBy("id").agg(F.min(F.struct("other_at", "other")).alias("first")).select("id", F.col("first.other").alias("other")))
-        exploded = exploded.join(known, "id", "left_anti")
+        shared = shared.join(known, "id", "left_anti")
     # Among the batch's own texts, those left.
-    again = own.where("own > 1").select("print", F.col("own").alias("df"))
-    mine = exploded.join(again, "print", "left_semi")
-    pairs = _candidates(reps, exploded, mine, again, "other", True)
+    pairs = _candidates(shared, shared, shared.groupBy("print").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), True)
     inner = _resolve(_verify(pairs, reps, reps))
     found = inner if known is None else inner.unionByName(known)
-    copies = every.join(lead, "mark").where("id != lead").select("id", "lead")
     followed = copies.join(found.select(F.col("id").alias("lead"), "other"), "lead", "left").select("id", F.coalesce("other", "lead").alias("other"))
     result = cut(found.unionByName(followed))
-    store.add(reps.join(found, "id", "left_anti").select("id", "at", "runs", "prints"))
+    store.add(reps.join(found, "id", "left_anti").select("id", "at", "runs", "chosen"))
     return result
 
 
