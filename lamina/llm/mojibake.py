@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.lookalike import SAME
 from lamina.session import ship, table
 
 #: Single-byte encodings in which UTF-8 is commonly misread; undefined bytes stand for themselves.
@@ -75,9 +76,10 @@ def _doubtful(span: str, out: str, line: str, start: int, end: int) -> bool:
     """Two letters that have the structure by chance: a sequence of two letters that others surround proves nothing."""
     if len(out) != 1 or not all(map(_letter, span)):
         return False
-    if ord(span[0]) >= 0x400:
-        return True
     around = line[max(0, start - 1) : start] + line[end : end + 1]
+    if ord(span[0]) >= 0x400:
+        # Within a Latin word it is sure, but for letters that stand there for their looks.
+        return not ("À" <= out <= "ſ" and re.search("[A-Za-z]", around) and not all(c in SAME for c in span))
     return span[0].isupper() == span[1].isupper() and any(ord(c) >= 0x80 for c in around)
 
 
