@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lamina.llm.variants import _set, _test, plain_filter, positions, repeated_filter
 from lamina.session import cut, remove, scratch, ship, table
 
+DOCS = "id long, at double, n int, mark binary, runs array<long>, chosen array<int>, cover array<int>"
 RUN = 3
 WINDOW = 4
 #: Texts of at most so many different runs are fingerprinted by every run of words.
@@ -81,7 +82,7 @@ def _fingerprint(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (id LONG, at DOUBLE, text) with n different runs, mark (a hash of their set), the runs, which of them are fingerprints (chosen), and how many windows each of these covers."""
     ship(docs.sparkSession)
-    return docs.select("id", "at", "text").mapInArrow(_fingerprint, "id long, at double, n int, mark binary, runs array<long>, chosen array<int>, cover array<int>")
+    return docs.select("id", "at", "text").mapInArrow(_fingerprint, DOCS)
 
 
 class FingerprintStore:
@@ -101,13 +102,13 @@ class FingerprintStore:
         return self.version == 0
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema("print long, id long, at double, version int, part int").parquet(f"{self.path}/postings")
 
     def docs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/docs")
+        return self.spark.read.schema(DOCS + ", version int").parquet(f"{self.path}/docs")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters/{self.version}")
+        return self.spark.read.schema("part int, filter binary").parquet(f"{self.path}/filters/{self.version}")
 
     def part(self, column):
         return F.pmod(F.shiftright(column, 7), F.lit(self.parts)).cast("int")
@@ -115,7 +116,7 @@ class FingerprintStore:
     def stage(self, prints: DataFrame) -> DataFrame:
         """Writes a batch's fingerprints as the next version and reads them back."""
         prints.write.parquet(f"{self.path}/docs/version={self.version + 1}")
-        return self.spark.read.parquet(f"{self.path}/docs/version={self.version + 1}")
+        return self.spark.read.schema(DOCS).parquet(f"{self.path}/docs/version={self.version + 1}")
 
     def screen(self, prints: DataFrame) -> DataFrame:
         """(part, print) of the distinct prints that the filters may know."""
@@ -145,7 +146,7 @@ class FingerprintStore:
                 _set(bitmap, positions(np.unique(new.column("print").to_numpy().view(np.uint64)), log).ravel())
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([bitmap.tobytes()], pa.binary())})
 
-        fresh = self.spark.read.parquet(f"{self.path}/postings/version={self.version + 1}").select(F.col("part").cast("int").alias("part"), "print")
+        fresh = self.spark.read.schema("print long, id long, at double, part int").parquet(f"{self.path}/postings/version={self.version + 1}").select("part", "print")
         old = self.spark.createDataFrame([], "part int, filter binary") if self.empty else self.filters()
         fresh.groupBy("part").cogroup(old.groupBy("part")).applyInArrow(build, "part int, filter binary").write.parquet(f"{self.path}/filters/{self.version + 1}")
         self.version += 1
