@@ -128,6 +128,22 @@ def expand(line: str, variables: dict[str, str | None]) -> str:
     return _PERCENT.sub(put, line)[:MOST_LINE] if len(line) <= MOST_LINE else line
 
 
+_DELAYED = re.compile(r"!([A-Za-z_#$][\w#$.@-]*)(?::(~-?\d+(?:,-?\d+)?|[^!=\n]+=[^!\n]*))?!")
+
+
+def expand_delayed(line: str, variables: dict[str, str | None]) -> str:
+    """!name! where delayed expansion is on."""
+
+    def put(m: re.Match) -> str:
+        value = variables.get(m.group(1).lower())
+        try:
+            return m.group() if value is None else modified(value, m.group(2)) if m.group(2) else value
+        except Unknown:
+            return m.group()
+
+    return _DELAYED.sub(put, line)
+
+
 def carets(line: str) -> str:
     """Carets that escape an ordinary letter vanish; within quotes and before special characters they stay."""
     out, quoted, i = [], False, 0
@@ -166,7 +182,7 @@ def assign_all(text: str, variables: dict[str, str | None]) -> None:
 def run(text: str) -> tuple[str, dict[str, str]]:
     """(text with what is known put in, variables known at the end)."""
     variables: dict[str, str | None] = {}
-    out, after_branch = [], False
+    out, after_branch, delayed = [], False, False
     for line in text.split("\n"):
         end = "\r" if line.endswith("\r") else ""
         line = line.rstrip("\r")
@@ -174,6 +190,11 @@ def run(text: str) -> tuple[str, dict[str, str]]:
             out.append(line + end)
             continue
         plain = expand(carets(line), variables)
+        if re.match(r"\s*@?setlocal\b.*\benabledelayedexpansion\b", line, re.I):
+            delayed = True
+        elif re.match(r"\s*@?endlocal\b", line, re.I):
+            delayed = False
+        plain = expand_delayed(plain, variables) if delayed else plain
         if (m := _SET_A.match(plain)) is not None:
             assign_all(m.group(1), variables)
         elif (m := _SET_P.match(plain)) is not None:
@@ -194,13 +215,39 @@ def resolve(text: str) -> str:
     return run(text)[0]
 
 
+_FOR_LIST = re.compile(r"^(\s*@?)for\s+%%?([A-Za-z])\s+in\s+\(([^()*?]*)\)\s+do\s+(.+)$", re.I)
+_FOR_F = re.compile(r"^(\s*@?)for\s+/f\s+(?:\"([^\"]*)\"\s+)?%%?([A-Za-z])\s+in\s+\(\s*\"([^\"]*)\"\s*\)\s+do\s+(.+)$", re.I)
+
+
+def _filled(body: str, name: str, value: str) -> str:
+    return re.sub(rf"%%?(?:~[a-z]*)?{name}\b", lambda _: value, body)
+
+
 def loop_values(line: str) -> list[str] | None:
-    """The lines that a FOR /L over a constant range stands for; None for anything else."""
-    m = _FOR_L.match(line)
-    if not m:
-        return None
-    a, step, b = int(m.group(3)), int(m.group(4)), int(m.group(5))
-    if step == 0 or abs(b - a) // abs(step) > MOST_ITEMS:
-        return None
-    values = range(a, b + (1 if step > 0 else -1), step)
-    return [re.sub(rf"%%?{m.group(2)}\b", str(v), m.group(6)) for v in values]
+    """The commands that a FOR over a constant range, list or literal stands for; None for anything else, such as files or the output of a command."""
+    if m := _FOR_L.match(line):
+        a, step, b = int(m.group(3)), int(m.group(4)), int(m.group(5))
+        if step == 0 or abs(b - a) // abs(step) > MOST_ITEMS:
+            return None
+        return [_filled(m.group(6), m.group(2), str(v)) for v in range(a, b + (1 if step > 0 else -1), step)]
+    if m := _FOR_LIST.match(line):
+        items = re.findall(r"\"[^\"]*\"|[^\s,;=]+", m.group(3))
+        return [_filled(m.group(4), m.group(2), v) for v in items] if len(items) <= MOST_ITEMS and "%" not in m.group(3) else None
+    if m := _FOR_F.match(line):
+        options = dict(re.findall(r"(tokens|delims|skip|eol)=(\S*)", m.group(2) or "", re.I))
+        if "skip" in options:
+            return None
+        by = options.get("delims", " \t")
+        parts = [p for p in re.split("[" + re.escape(by) + "]+", m.group(4)) if p] if by else [m.group(4)]
+        wanted = options.get("tokens", "1")
+        body, name = m.group(5), m.group(3)
+        for k, t in enumerate(wanted.split(",")):
+            letter = chr(ord(name) + k)
+            if t == "*":
+                body = _filled(body, letter, m.group(4))
+            elif t.isdigit():
+                body = _filled(body, letter, parts[int(t) - 1] if 0 < int(t) <= len(parts) else "")
+            else:
+                return None
+        return [body]
+    return None

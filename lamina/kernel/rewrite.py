@@ -14,6 +14,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 from urllib.parse import unquote
 
+from lamina.functions.values import ALIASES, STOCK
 from lamina.kernel import batch
 from lamina.kernel.psexpr import Parser, Stop, quote, shown, tokens
 
@@ -40,6 +41,63 @@ def ps_quotes(text: str) -> str:
     return text.translate(str.maketrans("‘’‚“”„–—―", "'''\"\"\"---"))
 
 
+def ps_calls(text: str) -> str:
+    """& 'name' becomes name, where it is a plain command word; a dot before a name loads it and stays."""
+    return re.sub(r"&\s*(?:'([A-Za-z][\w-]*)'|\"([A-Za-z][\w-]*)\")(?=[\s;|)}]|$)", lambda m: m.group(1) or m.group(2), text)
+
+
+def ps_aliases(text: str) -> str:
+    """Built-in aliases, and those the script itself sets, at the place of a command."""
+    toks = tokens(text)
+    own = {m.group(1).lower(): m.group(2) for m in re.finditer(r"\b(?:Set-Alias|New-Alias|sal|nal)\s+(?:-Name\s+)?['\"]?([\w-]+)['\"]?\s+(?:-Value\s+)?['\"]?([\w-]+)['\"]?", text, re.I)}
+    defined = {m.group(1).lower() for m in re.finditer(r"\bfunction\s+([\w-]+)", text, re.I)}
+    out, at = [], 0
+    for i, t in enumerate(toks):
+        before = toks[i - 1] if i else None
+        after = toks[i + 1] if i + 1 < len(toks) else None
+        if t.kind != "name" or t.text.lower() in defined or not (before is None or before.kind == "line" or before.text in (";", "|", "{", "(", "&")) or before is not None and before.text == "{" and i > 1 and toks[i - 2].text == "@":
+            continue
+        # A name before =, (, :: or a member is no command.
+        if after is not None and (after.text in ("=", ".", "[") or after.kind == "colons" or after.text == "(" and after.start == t.end):
+            continue
+        command = own.get(t.text.lower()) or ALIASES.get(t.text.lower())
+        if command and command.lower() != t.text.lower() and t.text.lower() not in ("foreach", "where", "set", "echo"):
+            out += [text[at : t.start], command]
+            at = t.end
+    return "".join(out) + text[at:]
+
+
+def ps_stock(text: str) -> str:
+    """$ShellId, $PSHOME and a few variables of the environment, where they are indexed or joined; values are assumed."""
+
+    def put(m: re.Match) -> str:
+        value = STOCK.get(m.group(1).strip("{}").lower())
+        return m.group() if value is None else quote(value)
+
+    return re.sub(r"\$(\{?(?:ShellId|PSHOME|env:\w+)\}?)(?=\s*\[\s*-?\d|\.Substring|\.Replace)", put, text, flags=re.I)
+
+
+def ps_casts(text: str) -> str:
+    """[string] before a literal says nothing."""
+    return re.sub(r"\[string\]\s*(?='|\")", "", text, flags=re.I)
+
+
+def ps_loops(text: str) -> str:
+    """A byte array that a loop decodes with a constant key, and the text it gives: for ($i...) { $a[$i] = $a[$i] -bxor k }, or $a | % { $_ -bxor k }."""
+    known = assigned(text)
+
+    def loop(m: re.Match) -> str:
+        data, op, key = known.get(m.group("a")), m.group("op").lower(), m.group("k")
+        k = known.get(key.strip("$")) if key.startswith("$") else int(key, 0)
+        if not isinstance(data, (list, bytes)) or not isinstance(k, int) or not all(isinstance(x, int) for x in data):
+            return m.group()
+        step = {"-bxor": lambda x: x ^ k, "-band": lambda x: x & k, "-bor": lambda x: x | k, "+": lambda x: x + k, "-": lambda x: x - k}[op]
+        out = bytes(step(x) & 255 for x in data).decode("latin-1")
+        return f"${m.group('a')} = {quote(out)}" if readable(out) else m.group()
+
+    return re.sub(r"for\s*\(\s*\$(?P<i>\w+)\s*=\s*0\s*;[^;{}]*;[^{}]*\)\s*\{\s*\$(?P<a>\w+)\[\$(?P=i)\]\s*=\s*(?:\[\w+\])?\s*\(?\s*\$(?P=a)\[\$(?P=i)\]\s*(?P<op>-bxor|-band|-bor|[+-])\s*(?P<k>\$?\w+)\s*\)?\s*;?\s*\}", loop, text, flags=re.I)
+
+
 def assigned(text: str) -> dict:
     """Variables with one known value: assigned once, at top level, from a constant expression."""
     toks = tokens(text)
@@ -266,7 +324,7 @@ def vb_variables(text: str) -> str:
 
 #: The rules of each language, in order; what is no script of a known kind is read like PowerShell.
 RULES: dict[str, list[tuple[str, Callable[[str], str]]]] = {
-    "powershell": [("quotes", ps_quotes), ("backticks", ps_backticks), ("fold", ps_fold)],
+    "powershell": [("quotes", ps_quotes), ("backticks", ps_backticks), ("calls", ps_calls), ("aliases", ps_aliases), ("stock", ps_stock), ("casts", ps_casts), ("loops", ps_loops), ("fold", ps_fold)],
     "javascript": [("codes", js_codes), ("decoders", js_decoders), ("methods", js_methods), ("concat", js_concat), ("members", js_members), ("variables", js_variables)],
     "vbscript": [("lines", vb_lines), ("codes", vb_codes), ("constants", vb_constants), ("calls", vb_calls), ("concat", vb_concat), ("variables", vb_variables)],
     "batch": [("parse", batch.resolve)],

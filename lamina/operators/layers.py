@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lamina.functions.text import refang
 from lamina.operators.findings import first_of_equals, scan, without_pieces
-from lamina.session import ship
+from lamina.operators.surveys import masked_text
+from lamina.session import cut, ship
 
 LAYER = "layer_id int, parent_id int, depth int, path string, language string, edge string, detail string, content string, final string, sha256 string, rounds int, converged boolean, variables map<string,string>, rules array<string>, limits array<string>, error string"
 
@@ -119,10 +120,27 @@ def cmd_value(expression: Column) -> Column:
     return F.pandas_udf(run, "int")(expression)
 
 
+def loop_commands(line: Column) -> Column:
+    """The commands behind a cmd FOR over constants, as an array; null for other lines."""
+
+    def run(texts):
+        from lamina.kernel.batch import loop_values
+
+        return texts.map(lambda t: None if t is None else loop_values(t))
+
+    return F.pandas_udf(run, "array<string>")(line)
+
+
 def layer_findings(found_layers: DataFrame, key: str) -> DataFrame:
-    """Findings of a document's layers, each with the path of the deepest layer whose own text holds it, else of the shallowest that gave it."""
-    parts = [scan(found_layers.where(F.length(c) > 0), [key, "layer_id"], c).withColumn("_o", F.lit(i)) for i, c in enumerate(("final", "content"))]
-    produced = first_of_equals(parts[0].unionByName(parts[1]), [key, "layer_id"], "_o").drop("_o")
+    """Findings of a document's layers, each with the path of the deepest layer whose own text holds it, else of the shallowest that gave it.
+
+    A layer's resolved variables are scanned first, then its final text, then its original one without the ingredients of string operations.
+    """
+    found_layers = cut(found_layers)  # the kernel runs once, though its result is read twice
+    resolved = F.array_join(F.transform(F.map_entries("variables"), lambda e: F.concat(e["key"], F.lit(" = "), e["value"])), "\n")
+    sources = F.array(*(F.struct(F.lit(i).alias("o"), c.alias("t")) for i, c in enumerate((resolved, F.col("final"), masked_text(F.col("content"))))))
+    texts = found_layers.select(key, "layer_id", F.explode(sources).alias("s")).select(key, "layer_id", "s.o", "s.t")
+    produced = first_of_equals(scan(texts, [key, "layer_id", "o"], "t"), [key, "layer_id"], "o").drop("o")
     at = produced.join(found_layers.select(key, "layer_id", "depth", "path", F.lower("final").alias("_f")), [key, "layer_id"])
     holds = F.contains("_f", F.lower("value")) | F.contains("_f", F.lower(refang(F.col("value"))))
     # Deepest among the holding, shallowest among the others: one order, one partial aggregation.

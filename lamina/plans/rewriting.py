@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.operators import layers as L
+from lamina.operators import surveys as S
 from lamina.session import ship, table
 from lamina.functions import text as T
 
@@ -161,3 +162,65 @@ def url_decode_plus(spark, folder):
 @query("url_decode_data", "SELECT CAST(p_partkey AS BIGINT) AS key, replace(p_name, ' ', '+') AS text FROM part")
 def url_decode_data(spark, folder):
     return table(spark, folder, "part").select(F.col("p_partkey").cast("long").alias("key"), T.percent_decode(F.url_encode("p_name"), False).alias("text"))
+
+
+@query("residual_runs")
+def residual_runs(spark, folder):
+    return S.residual_runs(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("residual_base64")
+def residual_base64(spark, folder):
+    return S.residual_base64(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("encoded_runs")
+def encoded_runs(spark, folder):
+    return S.encoded_runs(table(spark, folder, "analyses"), "id", "original_text").select("id", "run", F.array_join("steps", " > ").alias("steps"), "output")
+
+
+@query("indicator_spans")
+def indicator_spans(spark, folder):
+    return S.indicator_spans(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("statements_of_analyses")
+def statements_of_analyses(spark, folder):
+    return S.statements(table(spark, folder, "analyses").where("source_kind IS NOT NULL"), "id", "deobfuscated_text")
+
+
+@query("defanged_documents")
+def defanged_documents(spark, folder):
+    ship(spark)
+    return table(spark, folder, "documents").select("doc_id", S.defanged_text(F.col("text")).alias("text"))
+
+
+@query("rule_explanations")
+def rule_explanations(spark, folder):
+    changed = L.layers(table(spark, folder, "analyses"), "id", "original_text").select(F.explode("rules").alias("rule"))
+    return changed.groupBy("rule").agg(F.count(F.lit(1)).alias("changes")).select("rule", S.explained(F.col("rule")).alias("explained"), "changes")
+
+
+@query("provider_links", "SELECT id, 'https://www.virustotal.com/gui/' || CASE WHEN type LIKE 'hash%' THEN 'file/' || value WHEN type = 'domain' THEN 'domain/' || value WHEN type = 'ip_port' THEN 'ip-address/' || regexp_replace(value, ':[0-9]+$', '') ELSE 'ip-address/' || value END AS link FROM findings WHERE type IN ('ip', 'ip_port', 'domain', 'hash_md5', 'hash_sha1', 'hash_sha256') AND regexp_full_match(value, '[A-Za-z0-9.-]+(:[0-9]+)?') AND (type = 'ip_port' OR NOT contains(value, ':'))")
+def provider_links(spark, folder):
+    f = table(spark, folder, "findings").where("type IN ('ip', 'ip_port', 'domain', 'hash_md5', 'hash_sha1', 'hash_sha256')").where(F.col("value").rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)?\z") & ((F.col("type") == "ip_port") | ~F.col("value").contains(":")))
+    return f.select("id", S.provider_link(F.lit("virustotal"), F.col("type"), F.col("value")).alias("link"))
+
+
+@query("layer_findings_of_analyses")
+def layer_findings_of_analyses(spark, folder):
+    found = L.layers(table(spark, folder, "analyses"), "id", "original_text")
+    return L.layer_findings(found, "id")
+
+
+@query("layer_texts_of_analyses")
+def layer_texts_of_analyses(spark, folder):
+    return L.rendered(L.layers(table(spark, folder, "analyses"), "id", "original_text"), "id")
+
+
+@query("batch_for_l", "SELECT CAST(o_orderkey AS BIGINT) AS key, CAST(i - o_custkey % 100 AS INTEGER) AS at, 'echo ' || i AS command FROM (SELECT o_orderkey, o_custkey, unnest(range(o_custkey % 100, o_custkey % 100 + 5)) AS i FROM orders)")
+def batch_for_l(spark, folder):
+    ship(spark)
+    start = F.col("o_custkey") % 100
+    line = F.concat(F.lit("for /l %i in ("), start.cast("string"), F.lit(",1,"), (start + 4).cast("string"), F.lit(") do echo %i"))
+    return table(spark, folder, "orders").select(F.col("o_orderkey").cast("long").alias("key"), F.posexplode(L.loop_commands(line)).alias("at", "command"))

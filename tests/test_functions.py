@@ -164,3 +164,31 @@ def test_layers():
 def test_language(text, lang):
     assert rewrite.language(text) == lang
     assert rewrite.language(text, "batch") == "batch"
+
+
+def test_cmd_loops_and_delayed_expansion():
+    assert batch.loop_values("for /l %%i in (3,-1,1) do echo %%i") == ["echo 3", "echo 2", "echo 1"]
+    assert batch.loop_values('for %a in (x "y z" w) do run %a') == ["run x", 'run "y z"', "run w"]
+    assert batch.loop_values('for /f "tokens=2,3 delims=," %a in ("p,q,r") do echo %a%b') == ["echo qr"]
+    assert batch.loop_values("for /f %a in (file.txt) do echo %a") is None and batch.loop_values("for /l %i in (1,0,3) do x") is None and batch.loop_values("for %a in (*.exe) do x") is None
+    assert batch.run("setlocal EnableDelayedExpansion\nset a=hey\necho !a:~1!\nendlocal\necho !a!")[0].split("\n")[2:] == ["echo ey", "endlocal", "echo !a!"]
+
+
+@pytest.mark.parametrize("text, out", [("& 'Get-Date'", "Get-Date"), ("gci; ls", "Get-ChildItem; Get-ChildItem"), ("$x.sort()", "$x.sort()"), ("sort = 1", "sort = 1"), ("Set-Alias q Get-Item; q", "Set-Alias q Get-Item; Get-Item"), ("$env:ComSpec[4,15,25] -join ''", "'iex'"), ("$b = 41,44; for ($i=0; $i -lt 2; $i++) { $b[$i] = $b[$i] -bxor 65 }", "$b = 41,44; $b = 'hm'")])
+def test_powershell_commands(text, out):
+    assert rewrite.rewrite(text, "powershell")[0] == out
+
+
+def test_inspect():
+    from lamina.kernel import inspect
+
+    assert inspect.statements("$a = 1; if ($b) { c; d }\ne 'x;y'") == ["$a = 1", "if ($b) { c; d }", "e 'x;y'"]
+    assert len(inspect.statements("a;" * 6000)) == inspect.MOST_STATEMENTS
+    assert inspect.revealed('$a = "q"; Write-Host "x $a" "$b"', {"a": "q"}) == ["x q"]
+    assert inspect.masked("'http://x.test/a'.Replace('a','b') 'http://y.test/'") == "'               '.Replace('a','b') 'http://y.test/'"
+    assert inspect.defanged("see http://a.test/x and 10.0.0.1:80 or e.g. this") == "see hxxp://a[.]test/x and 10[.]0[.]0[.]1:80 or e.g. this"
+    noise = "Qm9yZWQ3x9ZkLmV0Ynd5cHRvT2ZmT25Ub0xlZnRSaWdodFVwRG93bkluT3V0QWJvdmUxMjM0NTY3ODkw"
+    assert inspect.residual("x = " + "8f" * 20) == [] and inspect.entropy("aabb") == 1.0
+    assert all(len(b) <= 99 for b in inspect.residual_blobs(noise * 2))
+    for odd in ("", "'" * 999, "(" * 999, "é" * 999):
+        inspect.statements(odd), inspect.residual(odd), inspect.masked(odd), inspect.defanged(odd)
