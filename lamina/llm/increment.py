@@ -172,22 +172,51 @@ def _shared_prints(reps: DataFrame, filters: list) -> DataFrame:
     return reps.select("id", "at", "n", "runs", "chosen", "cover").mapInArrow(run, "id long, at double, n int, windows int, print long, cover int")
 
 
-def _candidates(asking: DataFrame, known: DataFrame, counts: DataFrame, inside: bool) -> DataFrame:
-    """(id, at, other, other_at) candidate pairs: each text asks by its rarest fingerprints, as many as stand for more windows than edits may touch."""
+def _picked(asking: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, at, print) that each text asks by: its rarest fingerprints, as many as stand for more windows than edits may touch."""
     rare = Window.partitionBy("id").orderBy("df", "print").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("id")
     # What no other text has can't find one, but stands for windows that are gone.
-    picked = (
+    return (
         asking.join(counts, "print")
         .withColumn("lone", F.col("windows") - F.sum("cover").over(every))
         .withColumn("before", F.coalesce(F.sum("cover").over(rare), F.lit(0)) + F.col("lone"))
         .where((F.col("before") <= F.col("windows") * TOUCHED + MORE) | (F.col("n") <= SHORT))
         .select("id", "at", "print")
     )
-    pairs = picked.join(known.select("print", F.col("id").alias("other"), F.col("at").alias("other_at")), "print")
-    if inside:
-        pairs = pairs.where(F.struct("other_at", "other") < F.struct("at", "id"))
-    return cut(pairs.select("id", "at", "other", "other_at").distinct())
+
+
+def _pairs(picked: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, at, other, other_at): each asking text with each known one that has a picked fingerprint."""
+    return picked.join(known.select("print", F.col("id").alias("other"), F.col("at").alias("other_at")), "print")
+
+
+def _first(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("id").agg(F.min(F.struct("other_at", "other")).alias("f")).select("id", F.col("f.other").alias("other"), F.col("f.other_at").alias("other_at"))
+
+
+def _within(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """All verified pairs among a batch's own texts that can matter, without pairing the members of a family of near-copies with each other.
+
+    First each text asks only the earliest holder of each fingerprint it picked:
+    a pair for each fingerprint at most. Holders that find nobody before them
+    are accepted for sure, so what matches one of them is a duplicate for sure
+    and is no partner any more. Then every text asks all that are left and
+    come before it, and before the match it has.
+    """
+    order = F.struct("at", "id")
+    picked = cut(_picked(shared, shared.groupBy("print").agg(F.count(F.lit(1)).alias("df")).where("df > 1")))
+    holders = shared.groupBy("print").agg(F.min(order).alias("l")).select("print", F.col("l.id").alias("id"), F.col("l.at").alias("at"))
+    earlier = F.struct("other_at", "other") < order
+    asked = cut(_pairs(picked, holders).where(earlier).select("id", "at", "other", "other_at").distinct())
+    sure = asked.join(asked.select(F.col("id").alias("other")).distinct(), "other", "left_anti")
+    matched = cut(_first(_verify(sure, reps, reps)))
+    best = matched.select("id", F.col("other").alias("mo"), F.col("other_at").alias("mt"))
+    left = shared.join(matched.select("id"), "id", "left_anti")
+    rest = _pairs(picked, left).where(earlier).select("id", "at", "other", "other_at").distinct().join(best, "id", "left")
+    rest = cut(rest.where(F.col("mo").isNull() | (F.struct("other_at", "other") < F.struct("mt", "mo"))).select("id", "at", "other", "other_at"))
+    at = picked.select("id", "at").distinct()
+    return _verify(rest, reps, reps).unionByName(matched.join(at, "id").select("id", "at", "other", "other_at"))
 
 
 def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -252,13 +281,12 @@ def ingest(docs: DataFrame, store: FingerprintStore) -> DataFrame:
     known = None
     if not store.empty:
         held = cut(store.postings().join(positive, ["part", "print"], "left_semi").select("print", "id", "at"))
-        pairs = _candidates(shared, held, held.groupBy("print").agg(F.count(F.lit(1)).alias("df")), False)
-        hits = _verify(pairs, reps, store.docs())
-        known = cut(hits.groupBy("id").agg(F.min(F.struct("other_at", "other")).alias("first")).select("id", F.col("first.other").alias("other")))
+        picked = _picked(shared, held.groupBy("print").agg(F.count(F.lit(1)).alias("df")))
+        pairs = cut(_pairs(picked, held).select("id", "at", "other", "other_at").distinct())
+        known = cut(_first(_verify(pairs, reps, store.docs())).select("id", "other"))
         shared = shared.join(known, "id", "left_anti")
     # Among the batch's own texts, those left.
-    pairs = _candidates(shared, shared, shared.groupBy("print").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), True)
-    inner = _resolve(_verify(pairs, reps, reps))
+    inner = _resolve(_within(shared, reps))
     found = inner if known is None else inner.unionByName(known)
     followed = copies.join(found.select(F.col("id").alias("lead"), "other"), "lead", "left").select("id", F.coalesce("other", "lead").alias("other"))
     result = cut(found.unionByName(followed))
@@ -266,6 +294,14 @@ def ingest(docs: DataFrame, store: FingerprintStore) -> DataFrame:
     return result
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Lets the driver notice that a batch's shuffles and checkpoints are no longer referred to, so that their files go before the next batch."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def deduplicate(docs: DataFrame, steps: list[float] = (0.1, 0.4), store_path: str | None = None) -> DataFrame:
     """All duplicates of docs (id, at, text) in the order of (at, id): the first part is taken in as a bulk, then each later part as a batch against the store."""
     spark = docs.sparkSession
@@ -280,6 +316,7 @@ def deduplicate(docs: DataFrame, steps: list[float] = (0.1, 0.4), store_path: st
         part = part if hi is None else part.where(F.col("at") <= hi)
         found = ingest(part, store)
         out = found if out is None else out.unionByName(found)
+        _let_go(spark)
     if store_path is None:
         remove(spark, path)
     return out
