@@ -55,7 +55,6 @@ _ENCODED = re.compile(rf"(?:powershell|pwsh)(?:\.exe)?\b[^\n|;&]*?[-/–—―]{
 _COMMAND = re.compile(rf"(?:powershell|pwsh)(?:\.exe)?\b(?:\s+[-/](?!{_prefixes('command')}\s|{_prefixes('encodedcommand')}\s|file\s)\w+(?:\s+(?![-/'\"])\S+)?)*\s+[-/]{_prefixes('command')}\s+(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\n&|\"']+))", re.I)
 _LITERAL = r"(?:'((?:[^']|'')*)'|\"((?:[^\"`]|`.|\"\")*)\")"
 _IEX = re.compile(rf"(?:^|[;&|({{\s])(?:iex|invoke-expression)\s*\(?\s*{_LITERAL}\s*\)?\s*(?=$|[;\n|}})])", re.I | re.M)
-_PIPED = re.compile(rf"{_LITERAL}\s*\|\s*(?:iex|invoke-expression|&\s*\(\s*(?:gcm|get-command)\s+['\"]?iex['\"]?\s*\))", re.I)
 _BLOCK = re.compile(rf"(?:\[scriptblock\]::create|\$ExecutionContext\.InvokeCommand\.(?:NewScriptBlock|InvokeScript))\(\s*{_LITERAL}\s*\)", re.I)
 _JS_EVAL = re.compile(r"\b(?:eval|execScript|new\s+Function|Function|setTimeout|setInterval)\(\s*('(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\")")
 _VB_EXECUTE = re.compile(r"\b(?:ExecuteGlobal|Execute|Eval)[ \t]*\(?[ \t]*(\"(?:[^\"\n]|\"\")*\")", re.I)
@@ -74,6 +73,21 @@ def _bytes_text(raw: bytes) -> str | None:
     return t if sum(c.isprintable() or c in "\t\r\n" for c in t) >= 0.85 * len(t) else None
 
 
+def _piped(text: str) -> list[str]:
+    """Literals piped to Invoke-Expression, by its name, its alias or & (Get-Command iex)."""
+    from lamina.kernel.psexpr import tokens, unescape
+
+    if not re.search(r"\|\s*(?:iex|invoke-expression|&)", text, re.I):
+        return []
+    toks, out = tokens(text), []
+    for i, t in enumerate(toks[:-2]):
+        if t.kind in ("single", "double") and toks[i + 1].text == "|":
+            names = [x.text.strip("'\"").lower() for x in toks[i + 2 : i + 6]]
+            if names[0] in ("iex", "invoke-expression") or names[:2] == ["&", "("] and len(names) > 3 and names[2] in ("gcm", "get-command") and names[3] in ("iex", "invoke-expression"):
+                out.append(t.text[1:-1].replace("''", "'") if t.kind == "single" else unescape(t.text[1:-1]))
+    return out
+
+
 def handoffs(text: str, lang: str) -> list[tuple[str, str | None, str, str]]:
     """(content, language hint, edge, detail) of each stage that a text hands over, in the order of the rules."""
     from lamina.kernel.psexpr import unescape
@@ -90,7 +104,8 @@ def handoffs(text: str, lang: str) -> list[tuple[str, str | None, str, str]]:
     for m in _COMMAND.finditer(text):
         out.append((next(filter(None, m.groups())).strip(), "powershell", HANDOFF, "command"))
     if lang in ("powershell", "text", "unknown"):
-        for pattern, name in ((_IEX, "invoke-expression"), (_PIPED, "piped to invoke-expression"), (_BLOCK, "script block")):
+        out += [(c, "powershell", HANDOFF, "piped to invoke-expression") for c in _piped(text)]
+        for pattern, name in ((_IEX, "invoke-expression"), (_BLOCK, "script block")):
             for m in pattern.finditer(text):
                 out.append((m.group(1).replace("''", "'") if m.group(1) is not None else unescape(m.group(2)), "powershell", HANDOFF, name))
     elif lang == "javascript":

@@ -11,12 +11,14 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 from urllib.parse import unquote
 
 from lamina.functions.values import ALIASES, STOCK
 from lamina.kernel import batch
-from lamina.kernel.psexpr import Parser, Stop, quote, shown, tokens
+from lamina.kernel.psexpr import MOST_DEPTH, Parser, Stop, quote, shown, tokens
 
 MOST_ROUNDS = 20
 
@@ -46,8 +48,13 @@ def ps_calls(text: str) -> str:
     return re.sub(r"&\s*(?:'([A-Za-z][\w-]*)'|\"([A-Za-z][\w-]*)\")(?=[\s;|)}]|$)", lambda m: m.group(1) or m.group(2), text)
 
 
+_SHORT = re.compile(r"(?im)(?:^|[;|{(&])[ \t]*(?:" + "|".join(sorted((re.escape(a) for a in ALIASES if a not in "%?"), key=len, reverse=True)) + r")\b(?![ \t]*[=.\[(:-])|\b(?:Set-Alias|New-Alias|sal|nal)\b")
+
+
 def ps_aliases(text: str) -> str:
     """Built-in aliases, and those the script itself sets, at the place of a command."""
+    if not _SHORT.search(text):
+        return text
     toks = tokens(text)
     own = {m.group(1).lower(): m.group(2) for m in re.finditer(r"\b(?:Set-Alias|New-Alias|sal|nal)\s+(?:-Name\s+)?['\"]?([\w-]+)['\"]?\s+(?:-Value\s+)?['\"]?([\w-]+)['\"]?", text, re.I)}
     defined = {m.group(1).lower() for m in re.finditer(r"\bfunction\s+([\w-]+)", text, re.I)}
@@ -83,7 +90,9 @@ def ps_casts(text: str) -> str:
 
 
 def ps_loops(text: str) -> str:
-    """A byte array that a loop decodes with a constant key, and the text it gives: for ($i...) { $a[$i] = $a[$i] -bxor k }, or $a | % { $_ -bxor k }."""
+    """A byte array that a loop decodes with a constant key, and the text it gives: for ($i...) { $a[$i] = $a[$i] -bxor k }."""
+    if not re.search(r"\bfor\s*\(", text, re.I):
+        return text
     known = assigned(text)
 
     def loop(m: re.Match) -> str:
@@ -98,6 +107,7 @@ def ps_loops(text: str) -> str:
     return re.sub(r"for\s*\(\s*\$(?P<i>\w+)\s*=\s*0\s*;[^;{}]*;[^{}]*\)\s*\{\s*\$(?P<a>\w+)\[\$(?P=i)\]\s*=\s*(?:\[\w+\])?\s*\(?\s*\$(?P=a)\[\$(?P=i)\]\s*(?P<op>-bxor|-band|-bor|[+-])\s*(?P<k>\$?\w+)\s*\)?\s*;?\s*\}", loop, text, flags=re.I)
 
 
+@lru_cache(maxsize=16)
 def assigned(text: str) -> dict:
     """Variables with one known value: assigned once, at top level, from a constant expression."""
     toks = tokens(text)
@@ -128,17 +138,28 @@ def assigned(text: str) -> dict:
     return {k: v for k, v in known.items() if count[k] == 1 and k not in local}
 
 
+_STARTS = frozenset(("single", "double", "var"))
+_FOLLOWS = frozenset("+*,[.|")
+
+
 def ps_fold(text: str) -> str:
     """Maximal constant expressions that are text become literals."""
     toks = tokens(text)
     out, at, i = [], 0, 0
     known = assigned(text)
-    while i < len(toks):
+    last = len(toks) - 1
+    while i <= last:
         t = toks[i]
         before = toks[i - 1] if i else None
-        starts = t.kind in ("single", "double") or t.text in ("[", "(") or t.kind == "op" and t.text.lower() in ("-join",) or t.kind == "var" and i + 1 < len(toks) and toks[i + 1].kind not in ("line",) and toks[i + 1].text != "="
+        kind = t[0]
+        if not (kind in _STARTS or t[1] in ("[", "(") or kind == "op" and t[1].lower() == "-join"):
+            i += 1
+            continue
+        nxt = toks[i + 1] if i < last else None
+        # A literal or variable by itself is no expression to fold; something has to follow.
+        starts = nxt is not None and (kind not in _STARTS or nxt[0] == "op" or nxt[1] in _FOLLOWS) and not (kind == "var" and nxt[1] == "=")
         bound = before is not None and before.kind not in ("line",) and (before.text in (".", "%", "*", "/") or before.kind in ("colons", "dots") or before.kind == "op" and before.text.lower() in ("-f", "-replace", "-split", "-creplace", "-ireplace", "-like", "-match") or before.kind in ("single", "double", "var") and t.text in ("[", "(") or before.text in (")", "]") and t.text in ("[", "(") or before.kind == "name" and t.text in ("(", "[") and before.end == t.start)
-        if starts and not bound:
+        if starts and not bound and not (t[1] == "(" and i + MOST_DEPTH <= last and all(x[1] == "(" for x in toks[i : i + MOST_DEPTH])):  # too deep to be read
             p = Parser(toks, i, known)
             try:
                 value = p.expression()
@@ -342,6 +363,7 @@ MARKS = {
     "hta": [(r"(?i)<\s*hta:application\b", 10, 1)],
     "wsf": [(r"(?i)<\s*job\b[^>]*>", 6, 1), (r"(?i)<\s*package\s*>", 4, 1)],
 }
+_MARKS = {n: [(re.compile(p), w, most) for p, w, most in marks] for n, marks in MARKS.items()}
 TIES = ("hta", "wsf", "powershell", "batch", "javascript", "vbscript")
 LEAST_SCORE = 3.0
 
@@ -354,9 +376,11 @@ def language(text: str, hint: str | None = None) -> str:
     blank = re.sub(r"'[^'\n]*'|\"[^\"\n]*\"", lambda m: m.group()[0] + " " * (len(m.group()) - 2) + m.group()[0], sample)
 
     def score(t: str, name: str) -> float:
-        return sum(w * min(most, sum(1 for _ in re.finditer(p, t))) for p, w, most in MARKS[name])
+        return sum(w * min(most, sum(1 for _ in islice(p.finditer(t), most))) for p, w, most in _MARKS[name])
 
-    scores = {n: score(blank, n) + (score(sample, n) - score(blank, n)) / 2 for n in MARKS}
+    whole = {n: score(sample, n) for n in MARKS}
+    # The blanked copy scores no more, so languages below the least score need no second look.
+    scores = {n: w if w < LEAST_SCORE else w / 2 + score(blank, n) / 2 for n, w in whole.items()}
     best = max(TIES, key=lambda n: (scores[n], -TIES.index(n)))
     return best if scores[best] >= LEAST_SCORE else "text"
 
@@ -364,6 +388,7 @@ def language(text: str, hint: str | None = None) -> str:
 # -- gates and the fixed point
 
 
+@lru_cache(maxsize=16)
 def faults(text: str, lang: str) -> int:
     """Unbalanced brackets and open strings. Batch has no such structure."""
     if lang == "batch":
