@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import checks, values
 from lamina.functions.text import refang
-from lamina.session import ship
+from lamina.session import ship, spread
 
 #: Families in Catalyst, in the order in which the first of equal findings is kept.
 FAMILIES = {
@@ -89,7 +89,7 @@ def indicators(df: DataFrame, key: str | list[str], text: str, kinds: list[str]
     kinds: only these families. everything=False leaves out the families beyond Catalyst. Null and empty texts give no rows.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    clean = df.select(*keys, refang(F.col(text)).alias("_t")).where(F.length("_t") > 0)
+    clean = spread(df.select(*keys, text)).select(*keys, refang(F.col(text)).alias("_t")).where(F.length("_t") > 0)
     parts = [_matches(F.col("_t"), k) for k in FAMILIES if kinds is None or k in kinds]
     if everything:
         ship(df.sparkSession)
@@ -103,4 +103,4 @@ def signatures(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """Rows (key, type, value, severity, mitre, at) for each rule that a text meets; the text as it is, not refanged. Rules are literals in the plan: no join."""
     keys = [key] if isinstance(key, str) else list(key)
     hits = F.array(*(F.when(F.col(text).rlike("(?i)" + pattern), F.struct(F.lit(name).alias("value"), F.lit(severity).alias("severity"), F.array(*map(F.lit, mitre)).alias("mitre"), F.lit(1000 + i).alias("at"))) for i, (name, severity, mitre, pattern) in enumerate(values.RULES)))
-    return df.where(F.length(text) > 0).select(*keys, F.explode(F.array_compact(hits)).alias("m")).select(*keys, F.lit("signature").alias("type"), "m.*")
+    return spread(df.select(*keys, text)).where(F.length(text) > 0).select(*keys, F.explode(F.array_compact(hits)).alias("m")).select(*keys, F.lit("signature").alias("type"), "m.*")

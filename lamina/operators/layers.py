@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lamina.functions.text import refang
 from lamina.operators.findings import first_of_equals, scan, without_pieces
 from lamina.operators.surveys import masked_text
-from lamina.session import cut, ship
+from lamina.session import cut, ship, spread
 
 LAYER = "layer_id int, parent_id int, depth int, path string, language string, edge string, detail string, content string, final string, sha256 string, rounds int, converged boolean, variables map<string,string>, rules array<string>, limits array<string>, error string"
 
@@ -45,7 +45,7 @@ def layers(df: DataFrame, key: str, text: str) -> DataFrame:
     A null text has one empty layer; a document that the kernel fails on has one layer, its text unchanged, and the failure's name in `error`.
     """
     ship(df.sparkSession)
-    marked = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("mark", F.sha2("_t", 256))
+    marked = spread(df.select(key, text)).select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("mark", F.sha2("_t", 256))
     different = marked.groupBy("mark").agg(F.first("_t").alias("_t"))
     found = different.mapInArrow(_layers, "mark string, " + LAYER)
     return marked.select(key, "mark").join(found, "mark").drop("mark")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import ship
+from lamina.session import ship, spread
 
 
 def _exploded(df: DataFrame, key: str, text: str, function, schema: str) -> DataFrame:
@@ -13,7 +13,7 @@ def _exploded(df: DataFrame, key: str, text: str, function, schema: str) -> Data
     ship(df.sparkSession)
     names = [f.split(":")[0] for f in schema.split(",")]
     run = F.pandas_udf(lambda part: part.map(lambda t: [dict(zip(names, x)) for x in function(t)]), f"array<struct<{schema}>>")
-    return df.where(F.length(text) > 0).select(key, F.explode(run(F.col(text))).alias("r")).select(key, "r.*")
+    return spread(df.select(key, text)).where(F.length(text) > 0).select(key, F.explode(run(F.col(text))).alias("r")).select(key, "r.*")
 
 
 def residual_runs(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import layers as L
 from lamina.operators import surveys as S
-from lamina.session import ship, table
+from lamina.session import ship, spread, table
 from lamina.functions import text as T
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def trip(name: str, source: str, key: str, column: str, made, language: str, sho
 
     def run(spark, folder):
         ship(spark)
-        df = table(spark, folder, source).where(where)
+        df = spread(table(spark, folder, source).where(where))
         return df.select(F.col(key).cast("long").alias("key"), L.rewritten(made(F.col(column)), F.lit(language)).alias("text"))
 
     query(name, f"SELECT CAST({key} AS BIGINT) AS key, {shown} AS text FROM {source} WHERE {where}")(run)
@@ -97,7 +97,7 @@ _LINE = "powershell start http://a.test/"
 def _magic(name, made):
     def run(spark, folder):
         ship(spark)
-        df = table(spark, folder, "part").withColumn("t", F.concat(F.lit(_LINE), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" now and then")))
+        df = spread(table(spark, folder, "part")).withColumn("t", F.concat(F.lit(_LINE), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" now and then")))
         return df.select(F.col("p_partkey").cast("long").alias("key"), L.recipe(made(F.col("t")))["output"].alias("text"))
 
     query(name, f"SELECT CAST(p_partkey AS BIGINT) AS key, '{_LINE}' || replace(p_name, ' ', '-') || ' now and then' AS text FROM part")(run)
@@ -143,7 +143,7 @@ def layers_of_analyses(spark, folder):
 
 @query("rewritten_analyses")
 def rewritten_analyses(spark, folder):
-    a = table(spark, folder, "analyses").where("length(deobfuscated_text) > 0")
+    a = spread(table(spark, folder, "analyses").where("length(deobfuscated_text) > 0"))
     ship(spark)
     return a.select("id", (L.rewritten(F.col("original_text")) == F.col("deobfuscated_text")).alias("as_stored"))
 
@@ -151,7 +151,7 @@ def rewritten_analyses(spark, folder):
 @query("languages_of_analyses")
 def languages_of_analyses(spark, folder):
     ship(spark)
-    return table(spark, folder, "analyses").select("id", L.language_of(F.col("original_text")).alias("language"))
+    return spread(table(spark, folder, "analyses").select("id", "original_text")).select("id", L.language_of(F.col("original_text")).alias("language"))
 
 
 @query("url_decode_plus", "SELECT CAST(p_partkey AS BIGINT) AS key, p_name AS text FROM part")
@@ -192,7 +192,7 @@ def statements_of_analyses(spark, folder):
 @query("defanged_documents")
 def defanged_documents(spark, folder):
     ship(spark)
-    return table(spark, folder, "documents").select("doc_id", S.defanged_text(F.col("text")).alias("text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", S.defanged_text(F.col("text")).alias("text"))
 
 
 @query("rule_explanations")

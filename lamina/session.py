@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -66,3 +67,13 @@ def remove(spark: SparkSession, path: str) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for work that is heavy per row: what the shuffle setting says, at least one for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row, over a scan that gives fewer partitions than there are cores (a few small files):
+    the rows dealt out to all cores. A scan with enough partitions, the usual case at scale, and anything behind a shuffle stay as they are."""
+    execution = df._jdf.queryExecution()
+    if re.search("Exchange|Join|Aggregate|Sort|Window|Limit", execution.executedPlan().toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
