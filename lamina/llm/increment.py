@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.variants import _set, _test, plain_filter, positions, repeated_filter
-from lamina.session import cut, remove, scratch, ship, table
+from lamina.session import cut, remove, scratch, ship, spread, table
 
 DOCS = "id long, at double, n int, mark binary, runs array<long>, chosen array<int>, cover array<int>"
 RUN = 3
@@ -325,7 +325,7 @@ def deduplicate(docs: DataFrame, steps: list[float] = (0.1, 0.4), store_path: st
 def batched(spark: SparkSession, folder: str) -> DataFrame:
     """Analyses that belong to a batch, with the batch's start. A batch saved twice has one start; one of unknown start has no place in the order and is left out."""
     starts = table(spark, folder, "batches").groupBy("id").agg(F.min("started_at").alias("at")).where("id is not null and at is not null")
-    return table(spark, folder, "analyses").select("id", "batch_id", F.col("original_text").alias("text")).where("batch_id is not null").join(starts.withColumnRenamed("id", "batch_id"), "batch_id").select("id", "at", "text")
+    return spread(table(spark, folder, "analyses").select("id", "batch_id", F.col("original_text").alias("text")).where("batch_id is not null")).join(starts.withColumnRenamed("id", "batch_id"), "batch_id").select("id", "at", "text")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

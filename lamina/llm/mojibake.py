@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.lookalike import SAME
-from lamina.session import ship, table
+from lamina.session import ship, spread, table
 
 #: Single-byte encodings in which UTF-8 is commonly misread; undefined bytes stand for themselves.
 PAGES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8_r", "cp866")
@@ -243,7 +243,7 @@ def garbled(df: DataFrame, key: str, fields: list[str], restored: bool = True) -
     gives no rows. Texts of any length are read whole.
     """
     ship(df.sparkSession)
-    each = df.select(F.col(key).cast("long").alias("k"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("t")).select("k", "t.field", "t.text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    each = spread(df.select(key, *fields)).select(F.col(key).cast("long").alias("k"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("t")).select("k", "t.field", "t.text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
 
     def run(batches):
         for b in batches:

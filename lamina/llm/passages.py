@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.session import cut, remove, scratch, ship, table
+from lamina.session import cut, remove, scratch, ship, spread, table
 
 PHRASE = 40
 _BASE = 0xD6E8FEB86659FD93
@@ -155,7 +155,7 @@ def _elsewhere(rows: DataFrame, key: str) -> DataFrame:
 
 def texts_of(df: DataFrame, key: str, fields: list[str], span: int) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields))))
-    return df.select(F.col(key).cast("long").alias("id"), each.alias("t")).select("id", "t.field", "t.text").where((F.length("text") >= span) & F.col("id").isNotNull())
+    return spread(df.select(key, *fields)).select(F.col(key).cast("long").alias("id"), each.alias("t")).select("id", "t.field", "t.text").where((F.length("text") >= span) & F.col("id").isNotNull())
 
 
 class Shared:

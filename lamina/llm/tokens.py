@@ -7,7 +7,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lamina.session import ship
+from lamina.session import ship, spread
 
 VOCABULARY = os.environ.get("LAMINA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 _LOADED: dict = {}
@@ -44,4 +44,4 @@ def count_tokens(df: DataFrame, text: str, path: str = VOCABULARY, into: str = "
                 marks += [None if x is None else xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in part]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(sizes, pa.int32()), pa.array(marks, pa.int64())], names=[*rest, into, content])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
