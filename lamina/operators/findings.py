@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import values
 from lamina.functions.text import defang
 from lamina.operators.extract import indicators, signatures
+from lamina.session import cut
 
 #: Types of which a value within another of the same text says nothing new, unless a text has more than the limit.
 COLLAPSIBLE, LIMIT = ("user_agent", "registry_key", "mutex", "file_path", "unc_path"), 400
@@ -35,11 +36,12 @@ def first_of_equals(found: DataFrame, keys: list[str], order: str = "at") -> Dat
 
 def without_pieces(found: DataFrame, keys: list[str]) -> DataFrame:
     """Without partial hashes that are a piece of a whole digest of the same text, and without collapsible values within another of
-    their type and text. Both are judged inside one text's own, bounded groups: the lists are built per text, so nothing is paired across texts."""
-    digests = F.collect_set(F.when(F.col("type").isin("hash_md5", "hash_sha1", "hash_sha256"), F.lower("value"))).alias("_d")
-    long_ = F.collect_set(F.when(F.col("type").isin(*COLLAPSIBLE), F.struct("type", "value"))).alias("_c")
-    needed = found.where(F.col("type").isin(*COLLAPSIBLE, "hash_md5", "hash_sha1", "hash_sha256")).groupBy(*keys).agg(digests, long_)
-    joined = found.join(needed, keys, "left")
+    their type and text. Both are judged inside one text's own findings, whose number the text bounds; the input is computed once."""
+    own = Window.partitionBy(*keys)  # one text's findings
+    joined = found.withColumns({
+        "_d": F.collect_set(F.when(F.col("type").isin("hash_md5", "hash_sha1", "hash_sha256"), F.lower("value"))).over(own),
+        "_c": F.collect_set(F.when(F.col("type").isin(*COLLAPSIBLE), F.struct("type", "value"))).over(own),
+    })
     piece = (F.col("type") == "hash_partial") & F.coalesce(F.exists("_d", lambda d: F.contains(d, F.lower("value"))), F.lit(False))
     peers = F.filter("_c", lambda c: c["type"] == F.col("type"))
     inside = F.col("type").isin(*COLLAPSIBLE) & F.coalesce((F.size(peers) <= LIMIT) & F.exists(peers, lambda c: (c["value"] != F.col("value")) & F.contains(c["value"], F.col("value"))), F.lit(False))
@@ -56,8 +58,8 @@ def scan(df: DataFrame, key: str | list[str], text: str, rules: bool = True, eve
 
 
 def in_scan_order(found: DataFrame) -> DataFrame:
-    """Severity, type and value, all falling."""
-    return found.orderBy(severity_rank(F.col("severity")).desc(), F.col("type").desc(), F.lower("value").desc())
+    """Severity, type and value, all falling. The input is written first: a global sort samples it and would compute it twice."""
+    return cut(found).orderBy(severity_rank(F.col("severity")).desc(), F.col("type").desc(), F.lower("value").desc())
 
 
 def in_stored_order(found: DataFrame) -> DataFrame:
