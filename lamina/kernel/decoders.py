@@ -16,6 +16,7 @@ from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
 MOST_STEPS, MOST_NODES, MOST_IN, MOST_OUT = 4, 300, 200_000, 1_000_000
+MOST_INFLATE = 64 * 1024 * 1024
 
 
 class Recipe(NamedTuple):
@@ -161,19 +162,46 @@ def _rot47(t: str) -> bytes | None:
 TEXT_STEPS = (("From Base64", _base64), ("From Base32", _base32), ("From Base58", _base58), ("From Base85", _base85), ("From Hex", _hex), ("From Decimal", _decimal), ("From Octal", _octal), ("From Binary", _binary), ("URL Decode", _url), ("From HTML Entity", _entities), ("Unescape string", _escapes), ("From Quoted Printable", _quoted_printable), ("Reverse", _reverse), ("ROT13", _rot13), ("ROT47", _rot47))
 
 
-def inflate(raw: bytes, most: int = MOST_OUT) -> tuple[str, bytes] | None:
-    """Unpacks by the first bytes; never more than `most` bytes."""
+class Inflated(NamedTuple):
+    step: str
+    output: bytes
+    refused: str | None = None
+
+
+def _members(make, raw: bytes, most: int, magic: bytes | None = None) -> tuple[bytes, str | None]:
+    """All of a stream, its further members included, or nothing and why: it is cut short, or unpacks to more than `most` bytes."""
+    out, size = [], 0
+    while True:
+        d = make()
+        try:
+            out.append(d.decompress(raw, most + 1 - size))
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            if not out:
+                raise
+            return b"", "incomplete_stream"
+        size += len(out[-1])
+        if size > most:
+            return b"", "max_decompression"
+        if not d.eof:
+            return b"", "incomplete_stream"
+        raw = d.unused_data
+        if magic is None or not raw.startswith(magic):
+            return b"".join(out), None
+
+
+def inflate(raw: bytes, most: int = MOST_OUT) -> Inflated | None:
+    """Unpacks by the first bytes; a stream of more than `most` bytes or without its end is refused, never cut."""
     try:
         if raw[:2] == b"\x1f\x8b":
-            return "Gunzip", zlib.decompressobj(31).decompress(raw, most)
+            return Inflated("Gunzip", *_members(lambda: zlib.decompressobj(31), raw, most, raw[:2]))
         if raw[:3] == b"BZh":
-            return "Bzip2 Decompress", bz2.BZ2Decompressor().decompress(raw, most)
+            return Inflated("Bzip2 Decompress", *_members(bz2.BZ2Decompressor, raw, most, raw[:3]))
         if raw[:6] == b"\xfd7zXZ\0" or raw[:3] == b"\x5d\0\0":
-            return "LZMA Decompress", lzma.LZMADecompressor().decompress(raw, most)
+            return Inflated("LZMA Decompress", *_members(lzma.LZMADecompressor, raw, most, raw[:6] if raw[0] == 0xFD else None))
         if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return "Zlib Inflate", zlib.decompressobj().decompress(raw, most)
-        out = zlib.decompressobj(-15).decompress(raw, most)
-        return ("Raw Inflate", out) if len(out) >= 8 else None
+            return Inflated("Zlib Inflate", *_members(zlib.decompressobj, raw, most))
+        out = Inflated("Raw Inflate", *_members(lambda: zlib.decompressobj(-15), raw, most))
+        return out if out.refused or len(out.output) >= 8 else None
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
 
@@ -216,8 +244,8 @@ def search(text: str) -> Recipe | None:
                 if raw and len(raw) <= MOST_OUT:
                     out.append((name, raw))
         else:
-            if (r := inflate(value)) is not None:
-                out.append(r)
+            if (r := inflate(value)) is not None and not r.refused:
+                out.append((r.step, r.output))
             if steps and (x := xor(value)) is not None:
                 out.append(x)
         for name, raw in out:

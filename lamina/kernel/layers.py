@@ -88,8 +88,8 @@ def _piped(text: str) -> list[str]:
     return out
 
 
-def handoffs(text: str, lang: str) -> list[tuple[str, str | None, str, str]]:
-    """(content, language hint, edge, detail) of each stage that a text hands over, in the order of the rules."""
+def handoffs(text: str, lang: str, limits: list[str]) -> list[tuple[str, str | None, str, str]]:
+    """(content, language hint, edge, detail) of each stage that a text hands over, in the order of the rules. limits: gets why a packed stage was refused."""
     from lamina.kernel.psexpr import unescape
     from lamina.kernel.rewrite import js_text, vb_text
 
@@ -121,11 +121,17 @@ def handoffs(text: str, lang: str) -> list[tuple[str, str | None, str, str]]:
             raw = base64.b64decode(m.group(1) + "=" * (-len(m.group(1)) % 4))
         except ValueError:
             continue
-        packed = decoders.inflate(raw) if raw[:2] in (b"\x1f\x8b", b"\x78\x9c", b"\x78\xda", b"\x78\x01") or "Compression" in text else None
-        inner = _bytes_text(packed[1] if packed else raw)
+        packed = decoders.inflate(raw, decoders.MOST_INFLATE) if raw[:2] in (b"\x1f\x8b", b"\x78\x9c", b"\x78\xda", b"\x78\x01") or "Compression" in text else None
+        if packed and packed.refused:
+            # Deflate has no mark of its own: what is text without unpacking was no stream.
+            if packed.step != "Raw Inflate" or _bytes_text(raw) is None:
+                limits.append(packed.refused)
+                continue
+            packed = None
+        inner = _bytes_text(packed.output if packed else raw)
         # Bytes that read as a script are a stage; a value stays where it is.
         if inner and len(inner.split()) >= 3 and language(inner) != "text":
-            out.append((inner, None, DECOMPRESS if packed else DECODE, packed[0].lower() if packed else "base64"))
+            out.append((inner, None, DECOMPRESS if packed else DECODE, packed.step.lower() if packed else "base64"))
     return [(c, h, e, d) for c, h, e, d in out if len(c.strip()) >= 3]
 
 
@@ -142,7 +148,7 @@ def analyse(text: str | None, most_levels: int = MOST_LEVELS, most_layers: int =
         layer = queue.popleft()
         layer.final, layer.changes, layer.rounds, layer.converged = rewrite(layer.content, layer.language)
         layer.variables = variables(layer.final, layer.language)
-        for content, hint, edge, detail in handoffs(layer.final, layer.language):
+        for content, hint, edge, detail in handoffs(layer.final, layer.language, limits):
             mark = hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()
             if mark in known:
                 at = layer

