@@ -152,6 +152,15 @@ def test_inflate_is_whole_or_refused():
     assert decoders.search(base64.b64encode(gzip.compress(SCRIPT.encode() * 20_000)).decode()) is None
 
 
+@pytest.mark.parametrize("before", [0, 600, 5000, 100_000])
+def test_xor_reads_the_whole(before):
+    text = "0;9" * (before // 3) + "\nhttps://c2.test/gate"
+    assert decoders.xor(bytes(b ^ 0x5A for b in text.encode())) == ("XOR 0x5a", text.encode())
+    words = ";" * before + " and so the rest of this note is read to the end" * (before // 20 + 1)
+    assert decoders.xor(bytes(b ^ 0x5A for b in words.encode()))[1] == words.encode()
+    assert decoders.xor(bytes(b ^ 0x5A for b in (text + "\0" * before).encode())) is None or not before
+
+
 def test_layers_of_large_stages():
     rng = random.Random(1)
     lines = "".join(f"Write-Host '{rng.randbytes(40).hex()}'\n" for _ in range(11_000))
