@@ -53,11 +53,17 @@ def ip_category(df: DataFrame, ip: str, into: str = "category") -> DataFrame:
     return df.withColumn(into, F.when(F.col(ip).contains(":"), any_ip_category(F.col(ip))).otherwise(ipv4_category(F.col(ip))))
 
 
+def stripped(value: Column) -> Column:
+    """Without the blanks at its ends: tabs, line ends and Unicode's spaces too, which trim leaves."""
+    blank = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    return F.regexp_replace(value, rf"\A{blank}|{blank}\z", "")
+
+
 def host_of(value: Column) -> Column:
-    h = F.regexp_replace(F.trim(value), r"^.*?://", "")
-    h = F.regexp_replace(F.regexp_replace(h, "[/?].*$", ""), "^.*@", "")
-    h = F.when(h.startswith("["), F.regexp_extract(h, r"^\[([^\]]*)", 1)).when(F.length(h) - F.length(F.replace(h, F.lit(":"), F.lit(""))) == 1, F.regexp_replace(h, ":.*$", "")).otherwise(h)
-    return F.lower(F.regexp_replace(F.trim(h), r"\.+$", ""))
+    h = F.regexp_replace(stripped(value), r"(?s)\A.*?://", "")
+    h = F.regexp_replace(F.regexp_replace(h, r"(?s)[/?].*\z", ""), r"(?s)\A.*@", "")
+    h = F.when(h.startswith("["), F.regexp_extract(h, r"^\[([^\]]*)", 1)).when(F.length(h) - F.length(F.replace(h, F.lit(":"), F.lit(""))) == 1, F.regexp_replace(h, r"(?s):.*\z", "")).otherwise(h)
+    return F.lower(F.regexp_replace(stripped(h), r"\.+\z", ""))
 
 
 def skip_reason(kind: Column, value: Column) -> Column:
@@ -74,7 +80,7 @@ def skip_reason(kind: Column, value: Column) -> Column:
 
 def classify(value: Column) -> Column:
     """The type of a value by itself, in whole; null for none. IPv6 apart, which needs its grammar."""
-    v = refang(F.trim(value))
+    v = refang(stripped(value))
     full = lambda p: v.rlike(f"^(?:{p})\\z")
     return (
         F.when(full(values.IPV4), "ip")
@@ -88,7 +94,7 @@ def classify(value: Column) -> Column:
 
 def resolve_type(value: Column, requested: Column) -> Column:
     """The type to look a value up as: what is asked for, or what the value looks like."""
-    v, found = refang(F.trim(value)), classify(value)
+    v, found = refang(stripped(value)), classify(value)
     digest = F.when(v.rlike(r"^[A-Za-z0-9]+\z"), F.when(F.length(v) == 32, "hash_md5").when(F.length(v) == 40, "hash_sha1").when(F.length(v) == 64, "hash_sha256"))
     return F.when(v == "", None).when(requested.isin("", "auto"), found).when(requested == "signature", "signature").when(requested == "hash", digest).when(requested.isin("ip", "domain", "url"), requested)
 

@@ -119,9 +119,12 @@ PAGES = {
 def provider_link(provider: Column, kind: Column, value: Column) -> Column:
     """The provider's page for a finding, or null where it has none. Digests have pages under their own type names."""
     group = F.when(kind.isin("ip", "ip_port"), "ip").when(kind.isin("hash_md5", "hash_sha1", "hash_sha256"), "hash").when(kind.isin("domain", "url", "signature"), kind)
-    bare = F.when(kind == "ip_port", F.regexp_replace(value, ":[0-9]+$", "")).otherwise(value)
+    bare = F.when((group == "ip") & (F.length(value) - F.length(F.replace(value, F.lit(":"), F.lit(""))) == 1), F.substring_index(value, ":", 1)).otherwise(value)
     page = F.coalesce(*(F.when((provider == p) & (group == g), F.lit(u)) for (p, g), u in PAGES.items()))
-    return F.when(value != "", F.concat(page, F.url_encode(bare), F.when((provider == "abusech") & (group == "signature"), "/").otherwise("")))
+    # The encoder is one for forms: in a path a blank is %20, and everywhere an asterisk is %2A and a tilde stays.
+    form = F.replace(F.replace(F.url_encode(bare), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    shown = F.when(page.contains("?"), form).otherwise(F.replace(form, F.lit("+"), F.lit("%20")))
+    return F.when(value != "", F.concat(page, shown, F.when((provider == "abusech") & (group == "signature"), "/").otherwise("")))
 
 
 # What a kind of change is, for readers of a report.

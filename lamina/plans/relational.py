@@ -123,6 +123,11 @@ def classify_findings(spark, folder):
     return table(spark, folder, "findings").where(F.col("value").rlike(r"^[\x21-\x7E]*\z")).select("id", enrich.classify(F.col("value")).alias("kind"))
 
 
+@query("classify_all_findings")
+def classify_all_findings(spark, folder):
+    return table(spark, folder, "findings").select("id", enrich.classify(F.col("value")).alias("kind"))
+
+
 _NUM = "CAST(split_part(value, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(value, '.', 2) AS BIGINT) * 65536 + CAST(split_part(value, '.', 3) AS BIGINT) * 256 + CAST(split_part(value, '.', 4) AS BIGINT)"
 
 
@@ -141,12 +146,22 @@ def ip_categories(spark, folder):
     return enrich.ip_category(f.select("id", "value"), "value")
 
 
+@query("ip_categories_all")
+def ip_categories_all(spark, folder):
+    return enrich.ip_category(table(spark, folder, "findings").where(F.col("type") == "ip").select("id", "value"), "value")
+
+
 @query("scope_skips", f"WITH h AS (SELECT id, type, value, regexp_replace(regexp_replace(regexp_replace(trim(value), '^.*?://', ''), '[/?].*$', ''), '^.*@', '') AS h FROM findings WHERE type IN ('domain', 'url', 'email', 'hash_partial') AND regexp_full_match(value, '[\\x21-\\x5A\\x5E-\\x7E]*')), g AS (SELECT *, lower(regexp_replace(CASE WHEN length(h) - length(replace(h, ':', '')) = 1 THEN regexp_replace(h, ':.*$', '') ELSE h END, '\\.+$', '')) AS host FROM h) SELECT id, CASE WHEN type = 'hash_partial' THEN 'partial_hash' WHEN host <> '' AND contains(host, '.') AND split_part(host, '.', -1) IN ('invalid', 'example', 'test', 'localhost', 'local', 'internal') THEN 'reserved_suffix' WHEN host <> '' AND NOT contains(host, '.') THEN 'single_label' END AS reason FROM g")
 def scope_skips(spark, folder):
     f = table(spark, folder, "findings").where(F.col("type").isin("domain", "url", "email", "hash_partial") & F.col("value").rlike(r"^[\x21-\x5A\x5E-\x7E]*\z"))
     return f.select("id", enrich.skip_reason(F.col("type"), F.col("value")).alias("reason"))
 
 
+@query("scope_skips_all")
+def scope_skips_all(spark, folder):
+    return table(spark, folder, "findings").select("id", enrich.skip_reason(F.col("type"), F.col("value")).alias("reason"))
+
+
 @query("provider_requests", "SELECT provider, count(*) AS findings FROM findings JOIN (VALUES " + ", ".join(f"('{p}', '{t}')" for p, ts in V.CAPABILITY.items() for t in ts) + ") AS c(provider, type) USING (type) GROUP BY provider")
 def provider_requests(spark, folder):
     return enrich.capabilities(table(spark, folder, "findings")).groupBy("provider").agg(F.count(F.lit(1)).alias("findings"))

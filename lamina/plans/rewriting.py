@@ -207,6 +207,12 @@ def provider_links(spark, folder):
     return f.select("id", S.provider_link(F.lit("virustotal"), F.col("type"), F.col("value")).alias("link"))
 
 
+@query("provider_links_all")
+def provider_links_all(spark, folder):
+    f = table(spark, folder, "findings")
+    return f.select("id", *(S.provider_link(F.lit(p), F.col("type"), F.col("value")).alias(p) for p in dict.fromkeys(p for p, _ in S.PAGES)))
+
+
 @query("layer_findings_of_analyses")
 def layer_findings_of_analyses(spark, folder):
     found = L.layers(table(spark, folder, "analyses"), "id", "original_text")

@@ -1,11 +1,16 @@
 """Operators of the library proper on small fixtures."""
 
+import re
 import time
+from urllib.parse import quote, quote_plus
 
 from pyspark.sql import functions as F
 
+from lamina.functions import checks
 from lamina.functions import text as T
-from lamina.operators import enrich, extract, findings, history, layers
+from lamina.functions import values as V
+from lamina.operators import enrich, extract, findings, history, layers, surveys
+from lamina.plans import catalogue
 from lamina.sources import scripts, sinks
 from lamina.streaming import intake
 
@@ -67,6 +72,54 @@ def test_scope_and_types(spark):
     assert df.select(enrich.resolve_type(F.lit("d41d8cd98f00b204e9800998ecf8427e"), F.lit("hash")), enrich.resolve_type(F.lit("zz"), F.lit("hash")), enrich.resolve_type(F.lit("a.com"), F.lit("auto"))).first()[:] == ("hash_md5", None, "domain")
 
 
+UNTIDY = ["a.test", " a.test\r\n", "\ta.com\u3000", "a[.]test", "A[.]COM ", "hxxp://a[.]b.example/x y\nz", "x@\u00e4.invalid.", "http://[::1]:80/x", "//h/x", "host:80\n", "- a.com", "q\\r.local", "\u00fc.com", "", " ", None, "10.0.0.1", "10.0.0.1\n", "10[.]0[.]0[.]1", "2001:db8::1", "fe80::1", "::", "2606:4700::1111", "1:2", "d41d8cd98f00b204e9800998ecf8427e\t", "a b", "a*~+b"]
+
+
+def brute_reason(kind, value):
+    h = (value or "").strip()
+    h = h.split("://", 1)[1] if "://" in h else h
+    h = h.split("/", 1)[0].split("?", 1)[0]
+    h = h.rsplit("@", 1)[1] if "@" in h else h
+    h = h[1:].split("]", 1)[0] if h.startswith("[") else h.split(":", 1)[0] if h.count(":") == 1 else h
+    h = h.strip().rstrip(".").lower()
+    if kind == "hash_partial":
+        return "partial_hash"
+    if kind == "signature" and value in {r[0] for r in V.RULES}:
+        return "local_rule"
+    if kind not in ("domain", "url", "email") or not h:
+        return None
+    return "single_label" if "." not in h else "reserved_suffix" if h.rsplit(".", 1)[1] in V.RESERVED_SUFFIXES else None
+
+
+def brute_kind(value):
+    v = (value or "").strip()
+    for a, b in (("(?i)hxxps", "https"), ("(?i)hxxp", "http"), (r"(?i)\[\.\]|\(\.\)|\[dot\]|\(dot\)", "."), (r"\[:\]|\(:\)", ":"), (r"(?i)\[@\]|\(@\)|\[at\]|\(at\)", "@")):
+        v = re.sub(a, b, v)
+    for kind, p in (("ip", V.IPV4), ("url", V.URL), ("hash_sha256", V.SHA256), ("hash_sha1", V.SHA1), ("hash_md5", V.MD5), ("domain", V.DOMAIN)):
+        if re.fullmatch(p, v) and (kind != "domain" or v.rsplit(".", 1)[1].lower() in V.TLDS):
+            return kind
+
+
+def test_untidy_values_against_brute_force(spark, data, tmp_path):
+    kinds = ("domain", "url", "email", "hash_partial", "signature", "ip", "ip_port")
+    made = [(i, k, v) for i, (k, v) in enumerate(((k, v) for k in kinds for v in UNTIDY), 10**6)]
+    stored = [tuple(r) for r in spark.read.parquet(f"{data}/findings.parquet").select("id", "type", "value").collect()]
+    every = made + stored
+    spark.createDataFrame(every, "id long, type string, value string").write.parquet(str(tmp_path / "findings.parquet"))
+    ask = lambda name: catalogue.QUERIES[name](spark, str(tmp_path))
+    assert rows(ask("scope_skips_all")) == sorted([(i, brute_reason(k, v)) for i, k, v in every], key=str)
+    assert rows(ask("classify_all_findings")) == sorted([(i, brute_kind(v)) for i, _, v in every], key=str)
+    assert rows(ask("ip_categories_all")) == sorted([(i, v, checks.ip_category(v)) for i, k, v in every if k == "ip"], key=str)
+    links = {r["id"]: r for r in ask("provider_links_all").collect()}
+    assert len(links) == len(every)
+    group = lambda k: "hash" if k in ("hash_md5", "hash_sha1", "hash_sha256") else "ip" if k == "ip_port" else k
+    for i, k, v in every:
+        bare = v.split(":")[0] if group(k) == "ip" and v and v.count(":") == 1 else v
+        for p in {p for p, _ in surveys.PAGES}:
+            page = surveys.PAGES.get((p, group(k)))
+            assert links[i][p] == (page + (quote_plus(bare) if "?" in page else quote(bare, safe="")) + ("/" if (p, k) == ("abusech", "signature") else "") if page and v else None), (p, k, v)
+
+
 def test_provider_verdicts(spark):
     cases = [
         ("virustotal", '{"data":{"attributes":{"last_analysis_stats":{"malicious":2,"harmless":1}}}}', "malicious"), ("virustotal", '{"data":{"attributes":{"last_analysis_stats":{"harmless":1}}}}', "clean"), ("virustotal", "{}", "unknown"),
