@@ -10,6 +10,7 @@ encodings, is found by characters that can't stand where they stand.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -63,11 +64,63 @@ def _usual(c: str) -> bool:
     """A character that texts in European and East Asian languages are made of."""
     o = ord(c)
     return (
-        0xA0 <= o <= 0x17F or 0x0400 <= o <= 0x045F or 0x0391 <= o <= 0x03C9 or 0x2010 <= o <= 0x203A or o in (0x20AC, 0x2122, 0x0490, 0x0491)
+        0xA0 <= o <= 0x17F or 0x0218 <= o <= 0x021B or 0x0400 <= o <= 0x045F or 0x0386 <= o <= 0x03CE and o != 0x0387 or 0x2010 <= o <= 0x203A or o in (0x20AC, 0x2122, 0x0490, 0x0491)
         or 0x3000 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xFF00 <= o <= 0xFFEF or 0xAC00 <= o <= 0xD7A3
     )
 
 
+def _shown(c: str) -> bool:
+    """An assigned character that isn't a control, a surrogate or for private use."""
+    return unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs")
+
+
+#: What follows a word in right texts: behind an accented or Cyrillic letter it proves nothing.
+_CLOSING = frozenset("\u00a0»«”“’‘…—–°№")
+
+
+def _proven(source: str, before: str, after: str, koi: bool) -> bool:
+    """A sequence that can't be right writing, whatever character it decodes to."""
+    if len(source) == 4:
+        return not source.isalpha() or source.startswith("ЁЯ")  # emoji in code page 866; no word begins so
+    if all(map(_letter, source)):
+        greek = [0x370 <= ord(c) < 0x400 for c in source]
+        cased = [c for c in source if c.islower() or c.isupper()]
+        return len(source) > 2 and source[0] not in SAME and (any(greek) != all(greek) or any(a.islower() and b.isupper() for a, b in zip(cased, cased[1:])))
+    cyrillic = ord(source[0]) >= 0x400 and source[0].isalpha()
+    plain = all(c in _CLOSING or cyrillic and (c.islower() or "─" <= c <= "▟" and not koi) for c in source[1:])
+    if cyrillic and before.isascii() and before.isalpha():
+        return source[0] not in SAME
+    if cyrillic:
+        return not (before.isalpha() or "─" <= before <= "▟") and not all(c in _CLOSING for c in source[1:]) if plain or koi else True
+    return not plain or source[0] in "âÔΓ‚" and not before.isalpha() or after.isalpha() and len(source) > 2
+
+
+def _runs(span: str, to: dict[str, int], line: str, start: int, koi: bool) -> list[tuple[int, int, str]]:
+    """The stretches of a well-formed span whose characters can be meant. Unusual ones must be proven: by themselves from three bytes, two-byte ones in a row."""
+    parts, at = [], 0
+    while at < len(span):
+        n = 2 if to[span[at]] < 0xE0 else 3 if to[span[at]] < 0xF0 else 4
+        parts.append((at, at + n, bytes(to[c] for c in span[at : at + n]).decode("utf-8")))
+        at += n
+    ok = []
+    for i, (a, b, c) in enumerate(parts):
+        source, joined = span[a:b], i > 0 and ok[-1]
+        before, after = "" if joined else line[max(0, start + a - 1) : start + a], "" if i + 1 < len(parts) else line[start + b : start + b + 1]
+        ok.append(_usual(c) or _shown(c) and (b - a > 2 or len(parts) > 1) and _proven(source, before, after, koi))
+    for i, (a, b, c) in enumerate(parts):
+        # A two-byte letter that proves nothing by itself counts beside two that do; a proven one not alone.
+        near = [j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(parts) and ok[j] and ord(parts[j][2]) >= 0x100]
+        if not _usual(c) and b - a == 2 and _shown(c):
+            ok[i] = bool(near) and (ok[i] or len(near) > 1)
+    out = []
+    for (a, b, c), good in zip(parts, ok):
+        if good and out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b, out[-1][2] + c)
+        elif good:
+            out.append((a, b, c))
+    return out
+
+
 def _letter(c: str) -> bool:
     return c.isalpha() and ord(c) >= 0x80
 
@@ -90,10 +143,10 @@ def decode_line(line: str) -> tuple[str, int]:
         to, automaton = page(name)
         spans, sure = [], 0
         for m in automaton.finditer(line):
-            out = bytes(to[c] for c in m.group()).decode("utf-8")
-            if all(map(_usual, out)):
-                spans.append((m.start(), m.end(), out))
-                sure += 0 if _doubtful(m.group(), out, line, *m.span()) else m.end() - m.start()
+            for a, b, out in _runs(m.group(), to, line, m.start(), name == "koi8_r"):
+                start, end = m.start() + a, m.start() + b
+                spans.append((start, end, out))
+                sure += 0 if all(map(_usual, out)) and _doubtful(line[start:end], out, line, start, end) else end - start
         if sure > best:
             best, chosen = sure, spans
     if not chosen:
@@ -147,11 +200,14 @@ def decode_wide(text: str) -> tuple[str, int, int]:
                     lost += 1
                     return span
                 continue
-            if not all(map(_usual, out)):
+            if not all(_usual(c) or ord(c) >= 0x1F000 for c in out):
                 continue
             latin = all(0xC0 <= ord(c) <= 0x17F for c in out)
             slavic = all(0x400 <= ord(c) <= 0x45F for c in out)
             eastern = all(0x3000 <= ord(c) <= 0x9FFF for c in out)
+            if all(0x386 <= ord(c) <= 0x3CE for c in out) and len(out) > 2 or all(ord(c) >= 0x1F000 and _shown(c) for c in out):
+                found += 1
+                return out
             if (latin and (inside or len(out) > 2)) or (slavic and len(out) > 1) or (eastern and len(out) > 1):
                 found += 1
                 return out

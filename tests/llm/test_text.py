@@ -61,6 +61,23 @@ def test_misread_utf8_comes_back(wrong, text):
     assert out == f"x = {text} end" and fixed and not lost
 
 
+@pytest.mark.parametrize("wrong", ["latin-1", "cp437", "cp850", "mac_roman", "cp866"])
+@pytest.mark.parametrize("text", ["→", "✓", "≥", "😀", "مرحبا", "สวัสดี", "Ελληνικό κείμενο όλων"])
+def test_misread_beyond_the_usual_letters(wrong, text):
+    assert mojibake.repair(f"x = {text.encode().decode(wrong)} end") == (f"x = {text} end", len(text.split()), 0)
+
+
+def test_good_neighbours_in_one_span():
+    bad = "é\ue000é".encode().decode("latin-1")
+    assert mojibake.repair(f"a {bad} b")[:2] == ("a é" + "\ue000".encode().decode("latin-1") + "é b", 2)
+    assert mojibake.repair("αβγδ".encode().decode("gbk"))[0] == "αβγδ"
+
+
+@pytest.mark.parametrize("text", ["«слов…» и «остров»— да", "самостоятельно собран там", "стратегії» степі»", "voilà\u00a0» déjà !", "ВІН» ЛІН» НІК»", "Spaß… 2×…", "islã” ça…", "│Б││Б││", "cοmpαñíα.test", "Ñandú… ¿Qué?…»", "αβγ Ωμέγα όλων"])
+def test_right_texts_of_other_letters_stay(text):
+    assert mojibake.repair(text) == (text, 0, 0)
+
+
 def test_misread_twice_and_wide_and_swapped():
     twice = "préparé".encode().decode("cp1252").encode().decode("cp1252")
     assert mojibake.repair(twice)[0] == "préparé"
