@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import consensus, heavy, increment, lookalike, mixture, mojibake, packing, passages, quality, queries, variants
 
@@ -178,6 +179,19 @@ def test_mixture(spark):
     assert mixture.mix(df.limit(0), [("a", 1.0, 1)]).count() == 0 and mixture.mix(df, []).count() == 0
 
 
+def test_quality_sample_is_of_different_texts(spark, monkeypatch):
+    base = [(f"text number {i} about the weather and the sea",) for i in range(40)]
+    docs = spark.createDataFrame(base, "text string")
+    first = docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").first()[0]
+    many = docs.unionByName(spark.createDataFrame([(first,)] * 30, "text string"))
+    seen = []
+    real = quality.training_set
+    monkeypatch.setattr(quality, "training_set", lambda texts, words: (seen.append(texts), real(texts, words))[1])
+    quality.train(docs, frozenset(["the"]), 20)
+    quality.train(many, frozenset(["the"]), 20)
+    assert seen[0] == seen[1] and len(set(seen[1])) == 20
+
+
 def test_quality_tables(spark):
     words = frozenset(["the", "and", "is"])
     docs = spark.createDataFrame([(1, "The host is clean and the file is gone."), (2, None), (3, ""), (3, "..."), (4, "- a\n- b")], "doc_id long, text string")
