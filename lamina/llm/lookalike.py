@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lamina.session import ship, table
 
-# Letters of other scripts that look like a Latin letter (fixed values: the confusable letters of the Unicode security data), as look-alike and Latin letter.
+# Letters of other scripts that look like a Latin letter (fixed values: a selection, listed in the README, of the confusable letters of the Unicode security data), as look-alike and Latin letter.
 SAME = dict(
     zip(
         "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјоргсухһӏԁԛԝүҽѵ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοιυ" "ՕՍԼոսօցհյզ",
