@@ -435,7 +435,7 @@ def rewrite(text: str, lang: str, growth: int = 100) -> tuple[str, list[Change],
 
 def variables(text: str, lang: str) -> dict[str, str]:
     if lang in ("powershell", "text", "unknown"):
-        return {k: shown(v)[:10_000] for k, v in assigned(text).items()}
+        return {k: shown(v) for k, v in assigned(text).items()}
     if lang == "batch":
         return batch.run(text)[1]
     found = {}

@@ -161,6 +161,11 @@ def test_xor_reads_the_whole(before):
     assert decoders.xor(bytes(b ^ 0x5A for b in (text + "\0" * before).encode())) is None or not before
 
 
+def test_variables_are_whole():
+    value = "x" * 9_990 + " http://border.test/long/path.exe " + "y" * 9_000
+    assert rewrite.variables(f"$a = '{value}'", "powershell") == {"a": value}
+
+
 def test_layers_of_large_stages():
     rng = random.Random(1)
     lines = "".join(f"Write-Host '{rng.randbytes(40).hex()}'\n" for _ in range(11_000))
