@@ -324,6 +324,15 @@ def as_of_events(spark, folder):
     return enrich.as_of(e.where("event_id % 2 = 0"), facts, ["user_id"], "ts", "ts").select("event_id", "fact_event_id")
 
 
+@query("as_of_all_events", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fact_event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL UNION ALL SELECT event_id, NULL FROM events WHERE user_id IS NULL OR ts IS NULL")
+def as_of_all_events(spark, folder):
+    """Each event with the one before it, by time and id; an event asks from just below its own place, so it isn't its own fact."""
+    e = table(spark, folder, "events").select("event_id", "user_id", "ts")
+    facts = e.where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.struct("ts", "event_id").alias("place"), "event_id")
+    asked = e.withColumn("asks", F.struct("ts", (F.col("event_id") - 1).cast(e.schema["event_id"].dataType).alias("event_id")))
+    return enrich.as_of(asked, facts, ["user_id"], "asks", "place").select("event_id", "fact_event_id")
+
+
 @query("finding_export", "SELECT f.id, CASE WHEN type NOT IN ('ip', 'ip_port', 'ipv6_port', 'domain', 'url', 'email') THEN value WHEN type IN ('ip', 'ipv6_port') AND length(value) - length(replace(value, ':', '')) >= 2 THEN replace(replace(value, ':', '[:]'), '.', '[.]') ELSE replace(replace(regexp_replace(value, '^http(s?)://', 'hxxp\\1://', 'i'), '.', '[.]'), '@', '[@]') END AS defanged_value, coalesce(v.verdict, 'not checked') AS verdict FROM findings f LEFT JOIN (" + SQL["verdict_table"] + ") v ON v.finding_id = f.id")
 def finding_export(spark, folder):
     rows = sinks.finding_rows(table(spark, folder, "findings").select("id", "type", "value"), enrich.worst_for_table(table(spark, folder, "finding_intel")))
