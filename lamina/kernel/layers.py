@@ -8,6 +8,7 @@ import re
 from collections import deque
 from dataclasses import dataclass, field
 
+from lamina.functions.values import prefixes
 from lamina.kernel import decoders
 from lamina.kernel.rewrite import Change, language, rewrite, variables
 
@@ -46,13 +47,8 @@ class Result:
         return "/".join(reversed(parts))
 
 
-def _prefixes(word: str, least: int = 1) -> str:
-    """A pattern of a switch's abbreviations."""
-    return word[:least] + "".join(f"(?:{c}" for c in word[least:]) + ")?" * (len(word) - least)
-
-
-_ENCODED = re.compile(rf"(?:powershell|pwsh)(?:\.exe)?\b[^\n|;&]*?[-/–—―]{_prefixes('encodedcommand')}\s+['\"]?([A-Za-z0-9+/=]{{8,}})['\"]?", re.I)
-_COMMAND = re.compile(rf"(?:powershell|pwsh)(?:\.exe)?\b(?:\s+[-/](?!{_prefixes('command')}\s|{_prefixes('encodedcommand')}\s|file\s)\w+(?:\s+(?![-/'\"])\S+)?)*\s+[-/]{_prefixes('command')}\s+(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\n&|\"']+))", re.I)
+_ENCODED = re.compile(rf"(?:powershell|pwsh)(?:\.exe)?\b[^\n|;&]*?[-/–—―]{prefixes('encodedcommand')}\s+['\"]?([A-Za-z0-9+/=]{{8,}})['\"]?", re.I)
+_COMMAND = re.compile(rf"(?:powershell|pwsh)(?:\.exe)?\b(?:\s+[-/](?!{prefixes('command')}\s|{prefixes('encodedcommand')}\s|file\s)\w+(?:\s+(?![-/'\"])\S+)?)*\s+[-/]{prefixes('command')}\s+(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\n&|\"']+))", re.I)
 _LITERAL = r"(?:'((?:[^']|'')*)'|\"((?:[^\"`]|`.|\"\")*)\")"
 _IEX = re.compile(rf"(?:^|[;&|({{\s])(?:iex|invoke-expression)\s*\(?\s*{_LITERAL}\s*\)?\s*(?=$|[;\n|}})])", re.I | re.M)
 _BLOCK = re.compile(rf"(?:\[scriptblock\]::create|\$ExecutionContext\.InvokeCommand\.(?:NewScriptBlock|InvokeScript))\(\s*{_LITERAL}\s*\)", re.I)

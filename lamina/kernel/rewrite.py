@@ -368,21 +368,26 @@ TIES = ("hta", "wsf", "powershell", "batch", "javascript", "vbscript")
 LEAST_SCORE = 3.0
 
 
-def language(text: str, hint: str | None = None) -> str:
-    """The best-marked language, marks within strings counting half; text below the least score. A hint from who handed the text over decides."""
-    if hint and hint not in ("text", "unknown"):
-        return hint
-    sample = text if len(text) <= 200_000 else text[:180_000] + text[-20_000:]
-    blank = re.sub(r"'[^'\n]*'|\"[^\"\n]*\"", lambda m: m.group()[0] + " " * (len(m.group()) - 2) + m.group()[0], sample)
+def _points(view: str, name: str) -> float:
+    return sum(weight * sum(1 for _ in islice(pattern.finditer(view), most)) for pattern, weight, most in _MARKS[name])
+
 
-    def score(t: str, name: str) -> float:
-        return sum(w * min(most, sum(1 for _ in islice(p.finditer(t), most))) for p, w, most in _MARKS[name])
+def points(text: str) -> dict[str, float]:
+    """What the marks of the languages come to, of those that reach LEAST_SCORE in the whole text: half of it for the text as it is and half
+    for the text with its strings emptied, so what only a string says counts half. Texts are read whole."""
+    full = {name: p for name in MARKS if (p := _points(text, name)) >= LEAST_SCORE}
+    if not full:
+        return full
+    bare = re.sub(r"'[^'\n]*'|\"[^\"\n]*\"", '""', text)
+    return {name: (p + _points(bare, name)) / 2 for name, p in full.items()}
 
-    whole = {n: score(sample, n) for n in MARKS}
-    # The blanked copy scores no more, so languages below the least score need no second look.
-    scores = {n: w if w < LEAST_SCORE else w / 2 + score(blank, n) / 2 for n, w in whole.items()}
-    best = max(TIES, key=lambda n: (scores[n], -TIES.index(n)))
-    return best if scores[best] >= LEAST_SCORE else "text"
+
+def language(text: str, hint: str | None = None) -> str:
+    """The language with most points, the first in TIES among equals; text where none has LEAST_SCORE. A hint from who handed the text over decides."""
+    if hint not in (None, "", "text", "unknown"):
+        return hint
+    ranked = sorted(points(text).items(), key=lambda x: (-x[1], TIES.index(x[0])))
+    return ranked[0][0] if ranked and ranked[0][1] >= LEAST_SCORE else "text"
 
 
 # -- gates and the fixed point
