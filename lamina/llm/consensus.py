@@ -10,14 +10,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from lamina.session import cut, table
+from lamina.session import cut, remove, scratch, ship, table
 
 CLASSES = ("malicious", "suspicious", "clean")
 #: Pseudo-counts that hold a rarely seen annotator near chance, and the bound of a belief.
 PRIOR, EDGE = 2.0, 1e-3
+#: Annotators up to which their sums go to every task (about a megabyte).
+FEW = 10_000
 
 
 def opinions(intel: DataFrame, classes=CLASSES) -> DataFrame:
@@ -34,16 +40,122 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most: int = 30) -> tuple[DataFrame, DataFrame]:
+def _numbers(k: int, size: int, base: list[float], totals: dict | None, kind: str):
+    """One round over items in rows (item, code, said, x, t): new messages of each edge, the item's support t, and in a last row the sums of
+    the task by annotator. totals: what all edges of each annotator come to; None for the start."""
+    schema = pa.schema([("item", kind), ("code", pa.list_(pa.int32())), ("said", pa.list_(pa.int8())), ("x", pa.list_(pa.float64())), ("t", pa.list_(pa.float64())), ("at", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))])
+    prior, base_ = np.log(np.array(base) / (1 - np.array(base))), np.array(base)
+
+    def run(batches):
+        sums = np.zeros(1 + 2 * size * k)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code, said = (np.asarray(b.column(i).flatten()) for i in (1, 2))
+            lengths = np.diff(np.asarray(b.column(1).offsets))
+            row, starts = np.repeat(np.arange(b.num_rows), lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            own = said[:, None] == np.arange(k)[None]
+            if totals is None:
+                votes = np.add.reduceat(own.astype(float), starts)
+                new, t = (votes[row] - own + base_) / lengths[row][:, None], votes
+            else:
+                x = np.asarray(b.column(3).flatten()).reshape(-1, k)
+                others, labelled = totals["n"][code][:, None] - 1, totals["l"][code] - own
+                yes = totals["n1"][code] - x
+                hit = totals["s1"][code] - x * own
+                rate = (labelled + PRIOR * base_) / (others + PRIOR)
+                sens = np.clip((hit + PRIOR * rate) / (yes + PRIOR), EDGE, 1 - EDGE)
+                fall = np.clip((labelled - hit + PRIOR * rate) / (others - yes + PRIOR), EDGE, 1 - EDGE)
+                message = np.where(own, np.log(sens / fall), np.log((1 - sens) / (1 - fall)))
+                t = np.add.reduceat(message, starts) + prior
+                # An item belongs to one class: the beliefs of its one-against-rest messages are brought to a sum of one.
+                new = 1 / (1 + np.exp(-np.clip(t[row] - message, -30, 30)))
+                new /= new.sum(axis=1, keepdims=True)
+                sums[0] += np.abs(new - x).sum()
+            for i in range(k):
+                sums[1 + i * size : 1 + (i + 1) * size] += np.bincount(code, new[:, i], size)
+                sums[1 + (k + i) * size : 1 + (k + i + 1) * size] += np.bincount(code, new[:, i] * own[:, i], size)
+            flat = lambda v, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
+            none = pa.nulls(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat(new.ravel(), lengths * k), flat(t.ravel(), np.full(b.num_rows, k)), none.cast(schema.field("at").type), none.cast(schema.field("sums").type)], schema=schema)
+        there = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1).cast(f.type) for f in list(schema)[:5]] + [pa.array([there], pa.list_(pa.int32())), pa.array([sums[there]], pa.list_(pa.float64()))], schema=schema)
+
+    return run
+
+
+def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most: int = 200, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) of edges (item, annotator, label) that are distinct by item and annotator.
 
     items: item, verdict, opinions, agreement (share of its annotators that
     gave the verdict), confidence. annotators: annotator, opinions, reliability
-    (expected share of right labels) and for each class its sensitivity and
-    specificity. Equal support goes to the class named first in `classes`. An
-    item with one label gets that label unless its annotator is worthless; a
-    single annotator counts as right above chance. No edges give no rows.
+    (expected share of right labels), for each class its sensitivity and
+    specificity, and of the run the rounds and whether it converged: whether
+    the mean change of a message fell below `tolerance`. Equal support goes to
+    the class named first in `classes`. An item with one label gets that label
+    unless its annotator is worthless; a single annotator counts as right above
+    chance. No edges give no rows; null items, annotators and other labels are
+    left out.
+
+    Edges are shuffled once, to lie by item; a round is then one pass over the
+    items, and of it only sums by annotator travel. Of more than `few`
+    annotators the sums aren't sent to every task but joined.
     """
+    spark, k = edges.sparkSession, len(classes)
+    edges = edges.where(F.col("label").isin(*classes) & F.col("item").isNotNull() & F.col("annotator").isNotNull())
+    tally = edges.groupBy("annotator").agg(*(F.count_if(F.col("label") == c).alias(f"l{i}") for i, c in enumerate(classes))).limit(few + 1).collect()
+    if len(tally) > few:
+        return _wide(edges, classes, tolerance, most)
+    tally.sort(key=lambda r: r["annotator"])
+    size = len(tally)
+    l = np.array([[r[f"l{i}"] for i in range(k)] for r in tally], dtype=float).reshape(size, k)
+    every = l.sum()
+    base = [max(EDGE, min(1 - EDGE, v)) for v in (l.sum(axis=0) / every if every else np.full(k, 1 / k))]
+    ship(spark)
+    codes = spark.createDataFrame([(r["annotator"], i) for i, r in enumerate(tally)], StructType([StructField("annotator", edges.schema["annotator"].dataType), StructField("code", IntegerType())]))
+    said = F.coalesce(*(F.when(F.col("label") == c, F.lit(i)) for i, c in enumerate(classes))).cast("byte")
+    # An item has an edge for each annotator at most, so its row is bounded by `few`.
+    graph = edges.join(F.broadcast(codes), "annotator").groupBy("item").agg(F.collect_list(F.struct("code", said.alias("said"))).alias("e")).select("item", F.col("e.code").alias("code"), F.col("e.said").alias("said"))
+    kind = edges.schema["item"].dataType
+    columns = f"item {kind.simpleString()}, code array<int>, said array<byte>, x array<double>, t array<double>, at array<int>, sums array<double>"
+    folder = scratch(spark, "consensus")
+
+    def turn(rows: DataFrame, n: int, totals: dict | None) -> tuple[DataFrame, dict, float]:
+        out = rows.mapInArrow(_numbers(k, size, base, totals, to_arrow_type(kind)), columns)
+        out.withColumn("last", F.col("item").isNull()).write.partitionBy("last").parquet(f"{folder}/{n}")
+        state = spark.read.schema(columns + ", last boolean").parquet(f"{folder}/{n}")
+        sums = np.zeros(1 + 2 * size * k)
+        for at, v in state.where("last").select(F.explode(F.arrays_zip("at", "sums")).alias("p")).groupBy("p.at").agg(F.sum("p.sums")).collect():
+            sums[at] = v
+        n1, s1 = (sums[1 + j * k * size : 1 + (j + 1) * k * size].reshape(k, size).T for j in range(2))
+        return state.where("not last").drop("last"), {"n": l.sum(axis=1), "l": l, "n1": n1, "s1": s1}, sums[0]
+
+    state, totals, _ = turn(graph, 0, None)
+    n, change = 0, 0.0
+    while every and n < most:
+        n += 1
+        state, totals, moved = turn(state, n, totals)
+        remove(spark, f"{folder}/{n - 1}")
+        change = moved / (every * k)
+        if change < tolerance:
+            break
+    best = F.array_max("t")
+    verdict = F.element_at(F.array(*map(F.lit, classes)), F.array_position("t", best).cast("int"))
+    belief = F.transform("t", lambda t: 1 / (1 + F.exp(-F.greatest(F.least(t, F.lit(30.0)), F.lit(-30.0)))))
+    told = state.withColumns({"verdict": verdict, "b": belief, "i": (F.array_position("t", best) - 1).cast("byte")})
+    items = told.select(
+        "item", "verdict", F.size("said").cast("long").alias("opinions"), (F.size(F.filter("said", lambda s: s == F.col("i"))) / F.size("said")).alias("agreement"),
+        (F.array_max("b") / F.aggregate("b", F.lit(0.0), lambda a, x: a + x)).alias("confidence"),
+    )
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sens, spec = totals["s1"] / totals["n1"], 1 - (l - totals["s1"]) / (l.sum(axis=1)[:, None] - totals["n1"])
+    figures = [(r["annotator"], int(l[a].sum()), float(totals["s1"][a].sum() / l[a].sum()), *(float(v) for v in sens[a]), *(float(v) for v in spec[a]), n, bool(change < tolerance)) for a, r in enumerate(tally)]
+    columns = [*(StructField(x, DoubleType()) for x in ("reliability", *(f"sensitivity_{c}" for c in classes), *(f"specificity_{c}" for c in classes)))]
+    return items, spark.createDataFrame(figures, StructType([codes.schema["annotator"], StructField("opinions", LongType()), *columns, StructField("rounds", IntegerType()), StructField("converged", BooleanType())]))
+
+
+def _wide(edges: DataFrame, classes, tolerance: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """consensus() where annotators are too many for one table: the messages go over joins, partitioned by item and by annotator in turn."""
     k = len(classes)
     said = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in classes]
     # Start: the share of each class among an item's labels, leaving out the edge's own (the class shares of all edges stand in where none is left).
@@ -51,8 +163,8 @@ def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most:
     base = [max(EDGE, min(1 - EDGE, v if v is not None else 1 / k)) for v in share]
     votes = edges.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(f"v{i}") for i, s in enumerate(said)))
     state = cut(edges.join(votes, "item").select("item", "annotator", "label", *(((F.col(f"v{i}") - said[i] + base[i]) / F.col("n")).alias(f"x{i}") for i in range(k))))
-    before = None
-    for turn in range(most):
+    turn, change = 0, 0.0
+    for turn in range(1, most + 1):
         # Annotator side: expected hits by class. n1/n0: items that are / are not of the class; s1/s0: those it labelled with the class.
         totals = state.groupBy("annotator").agg(
             F.count(F.lit(1)).alias("n"),
@@ -77,13 +189,11 @@ def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most:
         # An item belongs to one class: the beliefs of its one-against-rest messages are brought to a sum of one.
         odds = [F.exp(F.greatest(F.least(F.col(f"t{i}") - F.col(f"m{i}") + prior[i], F.lit(30.0)), F.lit(-30.0))) for i in range(k)]
         belief = [o / (1 + o) for o in odds]
-        state = cut(back.select("item", "annotator", "label", *((b / _sum(belief)).alias(f"x{i}") for i, b in enumerate(belief))))
-        now = state.agg(*(F.sum(F.col(f"x{i}") * said[i]).alias(f"a{i}") for i in range(k)), *(F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(k)), F.count(F.lit(1)).alias("n")).first()
-        size = max(1, now["n"])
-        figures = [v or 0.0 for v in now[:-1]]
-        if before is not None and max(abs(a - b) for a, b in zip(figures, before)) / size < tolerance:
+        turned = cut(back.join(state.select("item", "annotator", *(F.col(f"x{i}").alias(f"o{i}") for i in range(k))), ["item", "annotator"]).select("item", "annotator", "label", *((b / _sum(belief)).alias(f"x{i}") for i, b in enumerate(belief)), *(F.col(f"o{i}") for i in range(k))))
+        change = turned.agg(F.avg(_sum([F.abs(F.col(f"x{i}") - F.col(f"o{i}")) for i in range(k)]))).first()[0] or 0.0
+        state = turned.drop(*(f"o{i}" for i in range(k)))
+        if change / k < tolerance:
             break
-        before = figures
     final = support.select("item", F.col("n").alias("opinions"), *((F.col(f"t{i}") + prior[i]).alias(f"t{i}") for i in range(k)))
     best = F.greatest(*(F.col(f"t{i}") for i in range(k)))
     verdict = F.coalesce(*(F.when(F.col(f"t{i}") == best, F.lit(c)) for i, c in enumerate(classes)))
@@ -99,7 +209,7 @@ def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most:
         *((F.sum(F.col(f"x{i}") * said[i]) / F.sum(f"x{i}")).alias(f"sensitivity_{c}") for i, c in enumerate(classes)),
         *((1 - F.sum((1 - F.col(f"x{i}")) * said[i]) / F.sum(1 - F.col(f"x{i}"))).alias(f"specificity_{c}") for i, c in enumerate(classes)),
     )
-    return items, annotators
+    return items, annotators.withColumns({"rounds": F.lit(turn), "converged": F.lit(change / k < tolerance)})
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -106,6 +106,36 @@ def test_increment(spark):
     assert increment.deduplicate(df.limit(0)).count() == 0
 
 
+def test_store_outgrows_its_parts_and_is_opened_again(spark, tmp_path):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(vocab) for _ in range(50)) for _ in range(30)]
+    docs = [(i, float(i // 20), (base[rng.randrange(30)] + f" end{i}") if i % 2 else " ".join(rng.choice(vocab) for _ in range(40))) for i in range(80)]
+    df = spark.createDataFrame(docs, "id long, at double, text string")
+    found = set()
+    for day in range(4):
+        store = increment.FingerprintStore(spark, f"file://{tmp_path}/store", part=64)
+        found |= set(map(tuple, increment.ingest(df.where(f"at = {day}"), store).collect()))
+    assert store.parts > 1 and store.generation > 0 and found == brute_duplicates(docs)
+    with pytest.raises(ValueError):
+        increment.ingest(df.where("at = 1"), store)
+    assert increment.ingest(df.limit(0), store).count() == 0
+
+
+def test_increment_hot_boilerplate(spark):
+    """A run of words that very many short texts share doesn't pair them all."""
+    docs = [(i, float(i), f"all rights reserved by us q{i} r{i * 7} s{i * 3} t{i} u{i * 5}") for i in range(3000)] + [(5000, 5000.0, docs0) for docs0 in ["all rights reserved by us q7 r49 s21 t7 u35 v"]]
+    df = spark.createDataFrame(docs, "id long, at double, text string")
+    assert set(map(tuple, increment.deduplicate(df, (0.5,)).collect())) == {(5000, 7)}
+
+
+def test_consensus_by_joins_is_the_same(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(i, s, rng.choice(consensus.CLASSES)) for i in range(200) for s in "abcdef" if rng.random() < 0.7], "item long, annotator string, label string")
+    a, b = (sorted((r["item"], r["verdict"], r["opinions"], round(r["agreement"], 9), round(r["confidence"], 6)) for r in consensus.consensus(edges, few=n)[0].collect()) for n in (100, 1))
+    assert a == b and len(a) > 190
+
+
 def test_passages(spark):
     rng = random.Random(6)
 
