@@ -85,9 +85,11 @@ def _shard(batches):
         flagged = np.unique(h[again])
         repeated.add(np.concatenate([u[once.has(u) | (n > 1)], flagged]))
         once.add(u)
+    held = []
     for h, place, _ in every:
         keep = repeated.has(h)
-        yield pa.RecordBatch.from_arrays([pa.array(place[keep]), pa.array(h[keep].view(np.int64))], names=["place", "h"])
+        held.append(pa.table({"place": place[keep], "h": h[keep].view(np.int64)}))
+    yield from pa.concat_tables(held).group_by(["place", "h"]).aggregate([]).combine_chunks().to_batches()
 
 
 def repeated(hashes: DataFrame, rows: int) -> DataFrame:
@@ -96,7 +98,7 @@ def repeated(hashes: DataFrame, rows: int) -> DataFrame:
     ship(hashes.sparkSession)
     shares = hashes.select("h", "place").where("h is not null").mapInArrow(_shares, "h long, place int, again boolean")
     shards = max(parallelism(hashes.sparkSession), -(-rows // SHARD))
-    return shares.repartition(shards, "h").mapInArrow(_shard, "place int, h long").distinct()
+    return shares.repartition(shards, "h").mapInArrow(_shard, "place int, h long")
 
 
 @contextmanager
