@@ -40,10 +40,25 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _numbers(k: int, size: int, base: list[float], totals: dict | None, kind: str):
+def _values(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a list or binary column one after the other, and how many each row has."""
+    if pa.types.is_list(column.type):
+        return np.asarray(column.flatten()).astype(dtype), np.diff(np.asarray(column.offsets))
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype), np.diff(ends) // np.dtype(dtype).itemsize
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of rows of numbers: the JVM passes them on without looking at each."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * values.dtype.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _numbers(k: int, size: int, base: list[float], totals: dict | None, kind):
     """One round over items in rows (item, code, said, x, t): new messages of each edge, the item's support t, and in a last row the sums of
     the task by annotator. totals: what all edges of each annotator come to; None for the start."""
-    schema = pa.schema([("item", kind), ("code", pa.list_(pa.int32())), ("said", pa.list_(pa.int8())), ("x", pa.list_(pa.float64())), ("t", pa.list_(pa.float64())), ("at", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))])
+    schema = pa.schema([("item", kind), *((c, pa.binary()) for c in ("code", "said", "x", "t")), ("at", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))])
     prior, base_ = np.log(np.array(base) / (1 - np.array(base))), np.array(base)
 
     def run(batches):
@@ -51,15 +66,14 @@ def _numbers(k: int, size: int, base: list[float], totals: dict | None, kind: st
         for b in batches:
             if not b.num_rows:
                 continue
-            code, said = (np.asarray(b.column(i).flatten()) for i in (1, 2))
-            lengths = np.diff(np.asarray(b.column(1).offsets))
+            (code, lengths), (said, _) = _values(b.column(1), np.int32), _values(b.column(2), np.int8)
             row, starts = np.repeat(np.arange(b.num_rows), lengths), np.concatenate([[0], np.cumsum(lengths)[:-1]])
             own = said[:, None] == np.arange(k)[None]
             if totals is None:
-                votes = np.add.reduceat(own.astype(float), starts)
-                new, t = (votes[row] - own + base_) / lengths[row][:, None], votes
+                t = np.add.reduceat(own.astype(float), starts)
+                new = (t[row] - own + base_) / lengths[row][:, None]
             else:
-                x = np.asarray(b.column(3).flatten()).reshape(-1, k)
+                x = _values(b.column(3), np.float64)[0].reshape(-1, k)
                 others, labelled = totals["n"][code][:, None] - 1, totals["l"][code] - own
                 yes = totals["n1"][code] - x
                 hit = totals["s1"][code] - x * own
@@ -75,15 +89,29 @@ def _numbers(k: int, size: int, base: list[float], totals: dict | None, kind: st
             for i in range(k):
                 sums[1 + i * size : 1 + (i + 1) * size] += np.bincount(code, new[:, i], size)
                 sums[1 + (k + i) * size : 1 + (k + i + 1) * size] += np.bincount(code, new[:, i] * own[:, i], size)
-            flat = lambda v, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), flat(new.ravel(), lengths * k), flat(t.ravel(), np.full(b.num_rows, k)), none.cast(schema.field("at").type), none.cast(schema.field("sums").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed(code, lengths), _packed(said, lengths), _packed(new, lengths * k), _packed(t, np.full(b.num_rows, k)), none.cast(schema.field("at").type), none.cast(schema.field("sums").type)], schema=schema)
         there = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.nulls(1).cast(f.type) for f in list(schema)[:5]] + [pa.array([there], pa.list_(pa.int32())), pa.array([sums[there]], pa.list_(pa.float64()))], schema=schema)
 
     return run
 
 
+def _decided(k: int, classes, kind):
+    def run(batches):
+        for b in batches:
+            (said, lengths), t = _values(b.column(1), np.int8), _values(b.column(2), np.float64)[0].reshape(-1, k)
+            best = t.argmax(axis=1)
+            agree = np.bincount(np.repeat(np.arange(b.num_rows), lengths), said == np.repeat(best, lengths), b.num_rows) / np.maximum(lengths, 1)
+            belief = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(classes, dtype=object)[best], pa.string()), pa.array(lengths.astype(np.int64)), pa.array(agree), pa.array(belief.max(axis=1) / belief.sum(axis=1))],
+                schema=pa.schema([("item", kind), ("verdict", pa.string()), ("opinions", pa.int64()), ("agreement", pa.float64()), ("confidence", pa.float64())]),
+            )
+
+    return run
+
+
 def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most: int = 200, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) of edges (item, annotator, label) that are distinct by item and annotator.
 
@@ -117,7 +145,7 @@ def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most:
     # An item has an edge for each annotator at most, so its row is bounded by `few`.
     graph = edges.join(F.broadcast(codes), "annotator").groupBy("item").agg(F.collect_list(F.struct("code", said.alias("said"))).alias("e")).select("item", F.col("e.code").alias("code"), F.col("e.said").alias("said"))
     kind = edges.schema["item"].dataType
-    columns = f"item {kind.simpleString()}, code array<int>, said array<byte>, x array<double>, t array<double>, at array<int>, sums array<double>"
+    columns = f"item {kind.simpleString()}, code binary, said binary, x binary, t binary, at array<int>, sums array<double>"
     folder = scratch(spark, "consensus")
 
     def turn(rows: DataFrame, n: int, totals: dict | None) -> tuple[DataFrame, dict, float]:
@@ -139,14 +167,7 @@ def consensus(edges: DataFrame, classes=CLASSES, tolerance: float = 1e-3, most:
         change = moved / (every * k)
         if change < tolerance:
             break
-    best = F.array_max("t")
-    verdict = F.element_at(F.array(*map(F.lit, classes)), F.array_position("t", best).cast("int"))
-    belief = F.transform("t", lambda t: 1 / (1 + F.exp(-F.greatest(F.least(t, F.lit(30.0)), F.lit(-30.0)))))
-    told = state.withColumns({"verdict": verdict, "b": belief, "i": (F.array_position("t", best) - 1).cast("byte")})
-    items = told.select(
-        "item", "verdict", F.size("said").cast("long").alias("opinions"), (F.size(F.filter("said", lambda s: s == F.col("i"))) / F.size("said")).alias("agreement"),
-        (F.array_max("b") / F.aggregate("b", F.lit(0.0), lambda a, x: a + x)).alias("confidence"),
-    )
+    items = state.select("item", "said", "t").mapInArrow(_decided(k, classes, to_arrow_type(kind)), f"item {kind.simpleString()}, verdict string, opinions long, agreement double, confidence double")
     with np.errstate(invalid="ignore", divide="ignore"):
         sens, spec = totals["s1"] / totals["n1"], 1 - (l - totals["s1"]) / (l.sum(axis=1)[:, None] - totals["n1"])
     figures = [(r["annotator"], int(l[a].sum()), float(totals["s1"][a].sum() / l[a].sum()), *(float(v) for v in sens[a]), *(float(v) for v in spec[a]), n, bool(change < tolerance)) for a, r in enumerate(tally)]
