@@ -1,9 +1,13 @@
-"""cmd.exe text: percent expansion, carets, set, set /a, for /L; a conservative reading line by line."""
+"""cmd.exe text: percent expansion, carets, set, set /a, for, goto; a conservative reading line by line."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+from lamina.functions.values import RUNTIME, RUNTIME_STARTS, STOCK
+
+#: Limits of the command interpreter itself (a line, a value), and the items up to which a loop is written out.
 MOST_LINE, MOST_VALUE, MOST_ITEMS = 8191, 32_767, 256
 
 
@@ -108,24 +112,53 @@ def modified(value: str, how: str) -> str:
     return re.sub(re.escape(old), lambda _: new, value, flags=re.I)
 
 
-_PERCENT = re.compile(r"%%|%([A-Za-z_#$][\w#$.@-]*)(?::(~-?\d+(?:,-?\d+)?|[^%=\n]+=[^%\n]*))?%")
+_REFERENCE = re.compile(r"%(?P<name>[^%:]+)(?::(?P<how>[^%]*))?%|%(?P<begun>[^%:]+):")
+_ARGUMENT = re.compile(r"%(?:\*|~[A-Za-z$:]*[0-9A-Za-z]|\d)")
 
 
-def expand(line: str, variables: dict[str, str | None]) -> str:
-    """Percent expansion of what is known. A name that is unknown or never set stays as it stands: the surroundings may set it."""
+def machine(name: str) -> str | None:
+    """The stock value of a variable of the machine; "" for one that only the machine knows; None for a name that isn't the machine's."""
+    name = name.lower()
+    if f"env:{name}" in STOCK:
+        return STOCK[f"env:{name}"]
+    return "" if name in RUNTIME or name.startswith(RUNTIME_STARTS) else None
 
-    def put(m: re.Match) -> str:
-        if m.group() == "%%":
-            return "%%"
-        value = variables.get(m.group(1).lower())
-        if value is None:
-            return m.group()
-        try:
-            return modified(value, m.group(2)) if m.group(2) else value
-        except Unknown:
-            return m.group()
 
-    return _PERCENT.sub(put, line)[:MOST_LINE] if len(line) <= MOST_LINE else line
+def expand(line: str, variables: dict[str, str | None], command_line: bool = False, double: bool = False) -> str:
+    """Percent expansion. variables: a value, or None where it can't be known. In a file %% is one percent sign, a lone one vanishes and a name
+    never set stands for nothing (of %name:...% only `%name:` goes); on a command line all of these stay, and
+    with double=True %% alone. A line that grows beyond MOST_LINE stays as written."""
+    out, at = [], 0
+    while (k := line.find("%", at)) >= 0:
+        out.append(line[at:k])
+        if line.startswith("%%", k):
+            out.append("%%" if command_line or double else "%")
+            at = k + 2
+            continue
+        if m := _ARGUMENT.match(line, k):
+            out.append(m.group())
+            at = m.end()
+            continue
+        m = _REFERENCE.match(line, k)
+        if m is None:
+            out.append("%" if command_line else "")
+            at = k + 1
+            continue
+        name, how = (m.group("name") or m.group("begun")).lower(), m.group("how")
+        known = machine(name) if name not in variables else variables[name]
+        at = m.end()
+        if known is None and name not in variables and not command_line:  # never set
+            at = k + 2 + len(name) if how is not None or m.group("begun") else m.end()
+        elif not known or m.group("begun"):
+            out.append(m.group())
+        else:
+            try:
+                out.append(modified(known, how) if how is not None else known)
+            except Unknown:
+                out.append(m.group())
+    out.append(line[at:])
+    done = "".join(out)
+    return line if len(done) > max(MOST_LINE, len(line)) else done
 
 
 _DELAYED = re.compile(r"!([A-Za-z_#$][\w#$.@-]*)(?::(~-?\d+(?:,-?\d+)?|[^!=\n]+=[^!\n]*))?!")
@@ -145,18 +178,8 @@ def expand_delayed(line: str, variables: dict[str, str | None]) -> str:
 
 
 def carets(line: str) -> str:
-    """Carets that escape an ordinary letter vanish; within quotes and before special characters they stay."""
-    out, quoted, i = [], False, 0
-    while i < len(line):
-        c = line[i]
-        if c == '"':
-            quoted = not quoted
-        elif c == "^" and not quoted and i + 1 < len(line) and line[i + 1] not in "&|<>^()\"%!\n ":
-            i += 1
-            continue
-        out.append(c)
-        i += 1
-    return "".join(out)
+    """Outside quotes a caret vanishes and what follows it is a plain character; one at the end of a line, which joins lines, stays."""
+    return re.sub(r"(\"[^\"]*(?:\"|$))|\^(.)", lambda m: m.group(1) or m.group(2), line, flags=re.S)
 
 
 _SET = re.compile(r"^\s*@?set\s+(?:\"([^\"=]+)=([^\"]*)\"\s*$|([^\s\"=/][^=]*?)=(.*))$", re.I)
@@ -179,42 +202,106 @@ def assign_all(text: str, variables: dict[str, str | None]) -> None:
             variables[name] = None
 
 
-def run(text: str) -> tuple[str, dict[str, str]]:
-    """(text with what is known put in, variables known at the end)."""
-    variables: dict[str, str | None] = {}
-    out, after_branch, delayed = [], False, False
-    for line in text.split("\n"):
-        end = "\r" if line.endswith("\r") else ""
-        line = line.rstrip("\r")
+_JUMP = re.compile(r"\b(?:goto\s+:?|call\s+:)([^\s:&|<>()]+)", re.I)
+_GOTO = re.compile(r"^\s*@?goto\s+:?([^\s:&|<>()]+)\s*$", re.I)
+_LABEL = re.compile(r"^\s*:([^\s:&|<>()]+)")
+_SETS = re.compile(r"\bset\s+(?:/[ap]\s+)?\"?([\w#$.]+)\s*(?:[-+*/%&|^]|<<|>>)?=", re.I)
+_LOOP = re.compile(r"^\s*@?for\b", re.I)
+
+
+class _Reading:
+    """One pass over a file. What a branch may or may not have set, and what a label can be reached with, isn't known."""
+
+    def __init__(self, text: str, command_line: bool):
+        self.lines, self.command_line = text.split("\n"), command_line
+        self.variables: dict[str, str | None] = {}
+        self.branched, self.delayed, self.scopes, self.depth = False, False, [], 0
+        self.jumps = Counter(m.group(1).lower() for line in self.lines for m in _JUMP.finditer(line))
+        self.labels = {m.group(1).lower(): i for i, line in reversed(list(enumerate(self.lines))) if (m := _LABEL.match(line)) and not line.lstrip().startswith("::")}
+        self.set_by = [{n.lower() for n in _SETS.findall(line)} for line in self.lines]
+
+    def read(self) -> str:
+        out, i = [], 0
+        while i < len(self.lines):
+            line = self.lines[i]
+            out.append(self.line(line.rstrip("\r"), i) + ("\r" if line.endswith("\r") else ""))
+            m = _GOTO.match(line.rstrip("\r"))
+            to = self.labels.get(m.group(1).lower()) if m and not self.depth else None
+            if to is not None and to > i and not self.branched:
+                # Straight on behind the label; what lies between isn't run from here and stays as written.
+                out += self.lines[i + 1 : to]
+                self.jumps[m.group(1).lower()] -= 1
+                i = to
+            else:
+                i += 1
+        return "\n".join(out)
+
+    def forget(self, names) -> None:
+        self.variables.update(dict.fromkeys(names))
+
+    def line(self, line: str, at: int) -> str:
         if re.match(r"\s*@?(?:rem\b|::)", line, re.I):
-            out.append(line + end)
-            continue
-        plain = expand(carets(line), variables)
-        if re.match(r"\s*@?setlocal\b.*\benabledelayedexpansion\b", line, re.I):
-            delayed = True
-        elif re.match(r"\s*@?endlocal\b", line, re.I):
-            delayed = False
-        plain = expand_delayed(plain, variables) if delayed else plain
-        if (m := _SET_A.match(plain)) is not None:
-            assign_all(m.group(1), variables)
+            return line
+        if m := _LABEL.match(line):
+            if self.jumps[m.group(1).lower()] > 0 or self.branched:
+                self.branched = True
+                self.forget(n for names in self.set_by for n in names)
+            return line
+        # A loop that isn't written out keeps the doubled percent signs of its variable.
+        loop = _LOOP.match(line) is not None
+        plain = carets(expand(line, self.variables, self.command_line, double=loop))
+        items = loop_values(plain) if loop else None
+        if items is not None and not self.depth and not any(x.lstrip().startswith("(") or _JUMP.search(x) for x in items):
+            return "\n".join(self.command(x) for x in items)
+        return self.command(plain)
+
+    def command(self, plain: str) -> str:
+        """One command, percent signs and carets done: delayed expansion, and what it does to the variables."""
+        plain = expand_delayed(plain, self.variables) if self.delayed else plain
+        if re.match(r"\s*@?setlocal\b", plain, re.I):
+            self.scopes.append((dict(self.variables), self.delayed))
+            self.delayed = self.delayed or re.search(r"\benabledelayedexpansion\b", plain, re.I) is not None
+        elif re.match(r"\s*@?endlocal\b", plain, re.I):
+            if self.scopes:
+                self.variables, self.delayed = self.scopes.pop()
+        elif self.depth or _BRANCH.match(plain):
+            self.branched = self.branched or not _GOTO.match(plain)
+            self.forget(n.lower() for n in _SETS.findall(plain))
+            bare = re.sub(r'"[^"]*"', "", plain)
+            self.depth = max(0, self.depth + bare.count("(") - bare.count(")"))
+        elif (m := _SET_A.match(plain)) is not None:
+            assign_all(m.group(1), self.variables)
         elif (m := _SET_P.match(plain)) is not None:
-            variables[m.group(1).lower()] = None
+            self.forget([m.group(1).lower()])
         elif (m := _SET.match(plain)) is not None and not re.match(r"\s*@?set\s+/", plain, re.I):
             name, value = (m.group(1), m.group(2)) if m.group(1) else (m.group(3), m.group(4))
-            # Beyond a branch a line may not have run, so two values are possible.
-            variables[name.strip().lower()] = None if after_branch or len(value) > MOST_VALUE or "%" in value else value
-        elif _BRANCH.match(plain):
-            after_branch = True
-            for name in re.findall(r"\bset\s+(?:/[ap]\s+)?\"?([\w#$.]+)\s*(?:[-+*/%&|^]|<<|>>)?=", plain, re.I):
-                variables[name.lower()] = None
-        out.append(plain + end)
-    return "\n".join(out), {k: v for k, v in variables.items() if v is not None}
+            self.assign(name.strip().lower(), value)
+        return plain
+
+    def assign(self, name: str, value: str) -> None:
+        # Beyond a branch a line may not have run, so two values are possible.
+        if self.branched or len(value) > MOST_VALUE or re.search("%[^%]+%|!", value) and (self.delayed or "%" in value):
+            self.variables[name] = None
+        elif value:
+            self.variables[name] = value
+        else:
+            self.variables.pop(name, None)
+
+
+def run(text: str, command_line: bool = False) -> tuple[str, dict[str, str]]:
+    """(text with what is known put in, variables known at the end)."""
+    r = _Reading(text, command_line)
+    return r.read(), {k: v for k, v in r.variables.items() if v is not None}
 
 
 def resolve(text: str) -> str:
     return run(text)[0]
 
 
+def resolve_command(text: str) -> str:
+    return run(text, command_line=True)[0]
+
+
 _FOR_LIST = re.compile(r"^(\s*@?)for\s+%%?([A-Za-z])\s+in\s+\(([^()*?]*)\)\s+do\s+(.+)$", re.I)
 _FOR_F = re.compile(r"^(\s*@?)for\s+/f\s+(?:\"([^\"]*)\"\s+)?%%?([A-Za-z])\s+in\s+\(\s*\"([^\"]*)\"\s*\)\s+do\s+(.+)$", re.I)
 

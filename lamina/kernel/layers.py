@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from lamina.functions.values import prefixes
 from lamina.kernel import decoders
-from lamina.kernel.rewrite import Change, language, rewrite, variables
+from lamina.kernel.rewrite import ONCE, Change, language, rewrite, variables
 
 MOST_LAYERS, MOST_LEVELS, MOST_BYTES, MOST_RATIO = 2000, 12, 200_000_000, 100
 DECODE, DECOMPRESS, HANDOFF = "DECODE", "DECOMPRESS", "HANDOFF"
@@ -142,8 +142,9 @@ def analyse(text: str | None, most_levels: int = MOST_LEVELS, most_layers: int =
     by = {1: root}
     while queue:
         layer = queue.popleft()
-        layer.final, layer.changes, layer.rounds, layer.converged = rewrite(layer.content, layer.language)
-        layer.variables = variables(layer.final, layer.language)
+        lang = "command" if layer.detail == "cmd" and layer.language == "batch" else layer.language
+        layer.final, layer.changes, layer.rounds, layer.converged = rewrite(layer.content, lang)
+        layer.variables = variables(layer.content if lang in ONCE else layer.final, lang)
         for content, hint, edge, detail in handoffs(layer.final, layer.language, limits):
             mark = hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()
             if mark in known:

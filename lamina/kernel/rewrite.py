@@ -38,9 +38,15 @@ def ps_backticks(text: str) -> str:
     return re.sub(r"(?P<keep><#.*?#>|#[^\n]*|'(?:[^']|'')*'|\"(?:[^\"`]|`.|\"\")*\")|(?<=[\w-])`(?=[A-Za-z0-9-])", lambda m: m.group() if m.group("keep") else "", text, flags=re.S)
 
 
+_PLAIN = {**dict.fromkeys(map(ord, "‘’‚‛"), "'"), **dict.fromkeys(map(ord, "“”„"), '"'), **dict.fromkeys(map(ord, "–—―"), "-")}
+_PS_KEPT = r"<#.*?#>|#[^\n]*|'(?:[^']|'')*'|\"(?:[^\"`]|`.|\"\")*\""
+
+
 def ps_quotes(text: str) -> str:
-    """Typographic quotes and dashes that PowerShell reads as plain ones."""
-    return text.translate(str.maketrans("‘’‚“”„–—―", "'''\"\"\"---"))
+    """Typographic quotes and dashes that PowerShell reads as plain ones, outside strings and comments."""
+    if not any(ord(c) > 127 for c in text):
+        return text
+    return re.sub(rf"(?P<keep>{_PS_KEPT})|[‘’‚‛“”„–—―]", lambda m: m.group() if m.group("keep") else m.group().translate(_PLAIN), text, flags=re.S)
 
 
 def ps_calls(text: str) -> str:
@@ -290,7 +296,7 @@ def vb_codes(text: str) -> str:
 
 
 def vb_concat(text: str) -> str:
-    return re.sub(rf"({_VB_STRING})(?:[ \t]*&[ \t]*{_VB_STRING})+", lambda m: vb_quote("".join(map(vb_text, re.findall(_VB_STRING, m.group())))), text)
+    return re.sub(rf"({_VB_STRING})(?:[ \t]*[&+][ \t]*{_VB_STRING})+", lambda m: vb_quote("".join(map(vb_text, re.findall(_VB_STRING, m.group())))), text)
 
 
 def vb_calls(text: str) -> str:
@@ -307,9 +313,19 @@ def vb_lines(text: str) -> str:
     return re.sub(r"[ \t]+_[ \t]*\n[ \t]*", " ", text)
 
 
+_VB_CONSTANTS = {"vbcrlf": "\r\n", "vbnewline": "\r\n", "vbcr": "\r", "vblf": "\n", "vbtab": "\t", "vbnullchar": "\0", "vbnullstring": ""}
+
+
 def vb_constants(text: str) -> str:
-    codes = {"vbcrlf": "\r\n", "vbtab": "\t"}
-    return re.sub(rf"({_VB_STRING})[ \t]*&[ \t]*vbTab\b", lambda m: vb_quote(vb_text(m.group(1)) + codes["vbtab"]), text, flags=re.I)
+    """Named characters beside a literal. Line ends can't stand in a literal, so they become the call that gives them."""
+
+    def put(m: re.Match) -> str:
+        value = _VB_CONSTANTS[m.group("name").lower()]
+        if value.isprintable() or value == "\t":
+            return vb_quote(vb_text(m.group("text")) + value)
+        return m.group("text") + " & " + " & ".join(f"Chr({ord(c)})" for c in value)
+
+    return re.sub(rf"(?P<text>{_VB_STRING})[ \t]*[&+][ \t]*(?P<name>vbCrLf|vbNewLine|vbCr|vbLf|vbTab|vbNullString)\b", put, text, flags=re.I)
 
 
 def _propagate(text: str, declare: re.Pattern, folded: bool, literal: str) -> str:
@@ -349,7 +365,10 @@ RULES: dict[str, list[tuple[str, Callable[[str], str]]]] = {
     "javascript": [("codes", js_codes), ("decoders", js_decoders), ("methods", js_methods), ("concat", js_concat), ("members", js_members), ("variables", js_variables)],
     "vbscript": [("lines", vb_lines), ("codes", vb_codes), ("constants", vb_constants), ("calls", vb_calls), ("concat", vb_concat), ("variables", vb_variables)],
     "batch": [("parse", batch.resolve)],
+    "command": [("parse", batch.resolve_command)],
 }
+#: Languages read once: what their phases leave is no input of the same phases.
+ONCE = ("batch", "command")
 RULES["text"] = RULES["unknown"] = RULES["powershell"]
 
 # -- the language of a text
@@ -396,7 +415,7 @@ def language(text: str, hint: str | None = None) -> str:
 @lru_cache(maxsize=16)
 def faults(text: str, lang: str) -> int:
     """Unbalanced brackets and open strings. Batch has no such structure."""
-    if lang == "batch":
+    if lang in ONCE:
         return 0
     strings = {"powershell": r"'(?:[^']|'')*'|\"(?:[^\"`]|`.|\"\")*\"|<#.*?#>|#[^\n]*", "javascript": _JS_STRING + r"|//[^\n]*|/\*.*?\*/", "vbscript": _VB_STRING + r"|'[^\n]*"}.get(lang, r"'(?:[^']|'')*'|\"(?:[^\"`]|`.|\"\")*\"|#[^\n]*")
     bare = re.sub(strings, "", text, flags=re.S)
@@ -429,7 +448,7 @@ def rewrite(text: str, lang: str, growth: int = 100) -> tuple[str, list[Change],
                 k = next((i for i, (a, b) in enumerate(zip(text, new)) if a != b), min(len(text), len(new)))
                 changes.append(Change(n, name, text[max(0, k - 16) : k + 80], new[max(0, k - 16) : k + 80]))
                 text = new
-        if text == start:
+        if text == start or lang in ONCE:
             return text, changes, n, True
         mark = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
         if mark in seen:
@@ -441,8 +460,8 @@ def rewrite(text: str, lang: str, growth: int = 100) -> tuple[str, list[Change],
 def variables(text: str, lang: str) -> dict[str, str]:
     if lang in ("powershell", "text", "unknown"):
         return {k: shown(v) for k, v in assigned(text).items()}
-    if lang == "batch":
-        return batch.run(text)[1]
+    if lang in ONCE:
+        return batch.run(text, lang == "command")[1]
     found = {}
     for m in (_JS_DECLARE if lang == "javascript" else _VB_DECLARE).finditer(text):
         found[m.group(1)] = js_text(m.group(2)) if lang == "javascript" else vb_text(m.group(2))

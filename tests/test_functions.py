@@ -96,12 +96,38 @@ def test_fold_keeps_meaning(text):
     assert out == f"$x = {lit(text)}"
 
 
+@pytest.mark.parametrize("text, out", [
+    ('echo %nope%x', 'echo x'),
+    ('echo 100%%', 'echo 100%'),
+    ('echo a%u:~0,1%b', 'echo a~0,1b'),
+    ('echo %TEMP%\\x', 'echo %TEMP%\\x'),
+    ('set a=abc\necho %a:~1%', 'set a=abc\necho bc'),
+    ('set a=1\ngoto end\nset a=2\n:end\necho %a%', 'set a=1\ngoto end\nset a=2\n:end\necho 1'),
+    ('for %%i in (a b) do echo %%i', 'echo a\necho b'),
+    ('setlocal enabledelayedexpansion\nset a=x\necho !a!y', 'setlocal enabledelayedexpansion\nset a=x\necho xy'),
+    ('setlocal\nset a=x\nendlocal\necho [%a%]', 'setlocal\nset a=x\nendlocal\necho []'),
+    ('set /a n=2+3*4\necho %n%', 'set /a n=2+3*4\necho 14'),
+    ('echo a^&b', 'echo a&b'),
+    ('set a=1\nif exist x set a=2\necho %a%', 'set a=1\nif exist x set a=2\necho %a%'),
+    (':top\nset a=1\necho %a%\ngoto top', ':top\nset a=1\necho %a%\ngoto top'),
+    ('echo %windir%', 'echo C:\\Windows'),
+    ('echo %1 %~dp0 %*', 'echo %1 %~dp0 %*'),
+])
+def test_batch_phases(text, out):
+    assert batch.resolve(text) == out
+
+
+def test_batch_line_beyond_the_limit_stays():
+    line = "echo %a%%a%"
+    assert batch.expand(line, {"a": "x" * 5000}) == line
+
+
 @pytest.mark.parametrize("lang, text, out", [
     ("powershell", "W`rite-Host ('a'+'b')", "Write-Host 'ab'"), ("powershell", '$u = "http://"+"x"', '$u = "http://x"'), ("powershell", "# 'a'+'b'", "# 'a'+'b'"), ("powershell", "$a = 'x'; $b = $a + 'y'", "$a = 'x'; $b = 'xy'"),
     ("powershell", "$y = $x + 'a'", "$y = $x + 'a'"), ("powershell", "function f { param($h) return $h * 9 }\n$h = 'q'", "function f { param($h) return $h * 9 }\n$h = 'q'"), ("powershell", "'it''s ' + 'ok'", "'it''s ok'"),
     ("javascript", "x = 'a' + \"b\" + 'c'", "x = 'abc'"), ("javascript", "x = '\\x41\\u0042'", "x = 'AB'"), ("javascript", "x = 'abcd'.substr(1,2).toUpperCase()", "x = 'BC'"), ("javascript", "o['run'](1)", "o.run(1)"), ("javascript", "x='a,b'.split(',').join('')", "x='ab'"),
     ("vbscript", 'x = "a" & Chr(&H42) & Chr(66 + 1)', 'x = "aBC"'), ("vbscript", 'x = Replace("a-b","-","+")', 'x = "a+b"'), ("vbscript", 'x = Left("abc",2) & Right("abc",1)', 'x = "abc"'), ("vbscript", 'x = "a" & _\n  "b"', 'x = "ab"'), ("vbscript", 'x = Join(Split("a.b","."),"")', 'x = "ab"'),
-    ("batch", "s^et a=b\necho %a%c", "set a=b\necho bc"), ("batch", "set /a n=2+3*4\necho %n%", "set /a n=2+3*4\necho 14"), ("batch", "echo %none%", "echo %none%"), ("batch", "set a=x\nif 1==1 set a=y\necho %a%", "set a=x\nif 1==1 set a=y\necho %a%"), ("batch", "rem ^a %b%", "rem ^a %b%"),
+    ("batch", "s^et a=b\necho %a%c", "set a=b\necho bc"), ("batch", "set /a n=2+3*4\necho %n%", "set /a n=2+3*4\necho 14"), ("batch", "echo %none%x", "echo x"), ("command", "echo %none% %%", "echo %none% %%"), ("batch", "set a=x\nif 1==1 set a=y\necho %a%", "set a=x\nif 1==1 set a=y\necho %a%"), ("batch", "rem ^a %b%", "rem ^a %b%"),
 ])
 def test_rewrite(lang, text, out):
     got = rewrite.rewrite(text, lang)
