@@ -145,24 +145,44 @@ def worst_for_table(intel: DataFrame, key: str = "finding_id") -> DataFrame:
     return worst.select(key, F.coalesce(*(F.when(F.col("r") == i, F.lit(x)) for i, x in enumerate(order)), F.lit("unknown")).alias("verdict"))
 
 
-def provider_verdict(provider: Column, body: Column) -> Column:
-    """The verdict behind a provider's stored JSON answer (thresholds as the providers' own scales)."""
-    num = lambda path: F.coalesce(F.get_json_object(body, path).cast("int"), F.lit(0))
-    text = lambda path: F.lower(F.get_json_object(body, path))
-    m, s, h, u = (num(f"$.data.attributes.last_analysis_stats.{x}") for x in ("malicious", "suspicious", "harmless", "undetected"))
+_ANSWER = (
+    "struct<data:string,pulse_info:struct<count:int>,classification:string,risk:string,tags:array<string>,vulns:array<string>,ports:array<int>,query_status:string>"
+)
+_DATA = "struct<attributes:struct<last_analysis_stats:struct<malicious:int,suspicious:int,harmless:int,undetected:int>>,abuseConfidenceScore:int,totalReports:int>"
+
+
+def provider_verdict(provider: Column, body: Column, kind: Column | None = None) -> Column:
+    """The verdict behind a provider's stored JSON answer (thresholds as the providers' own scales), about a finding of a kind. The body is read
+    once; what is no JSON has nothing in it."""
+    a = F.from_json(body, _ANSWER)
+    d = F.from_json(a["data"], _DATA)
+    num = lambda c: F.coalesce(c, F.lit(0))
+    stats = d["attributes"]["last_analysis_stats"]
+    m, s, h, u = (num(stats[x]) for x in ("malicious", "suspicious", "harmless", "undetected"))
     vt = F.when(m > 0, "malicious").when(s > 0, "suspicious").when(m + s + h + u > 0, "clean").otherwise("unknown")
-    score, reports = num("$.data.abuseConfidenceScore"), num("$.data.totalReports")
+    score, reports = num(d["abuseConfidenceScore"]), num(d["totalReports"])
     abuse = F.when(score >= 75, "malicious").when(score >= 25, "suspicious").when(reports > 0, "clean").otherwise("unknown")
-    pulses = num("$.pulse_info.count")
+    pulses = num(a["pulse_info"]["count"])
     otx = F.when(pulses >= 3, "malicious").when(pulses >= 1, "suspicious").otherwise("unknown")
-    c = text("$.classification")
+    c = F.lower(a["classification"])
     grey = F.when(c == "malicious", "malicious").when(c == "benign", "clean").when(c == "suspicious", "suspicious").otherwise("unknown")
-    r = text("$.risk")
+    r = F.lower(a["risk"])
     pulse = F.when(r.isin("critical", "high"), "malicious").when(r == "medium", "suspicious").when(r.isin("low", "none"), "clean").otherwise("unknown")
-    tags = F.get_json_object(body, "$.tags[0]").isNotNull() | F.get_json_object(body, "$.vulns[0]").isNotNull()
-    shodan = F.when(tags, "suspicious").when(F.get_json_object(body, "$.ports[0]").isNotNull(), "clean").otherwise("unknown")
-    ch = F.when(F.get_json_object(body, "$.query_status") == "ok", "malicious").otherwise("unknown")
-    return F.when(provider == "virustotal", vt).when(provider == "abuseipdb", abuse).when(provider == "otx", otx).when(provider == "greynoise", grey).when(provider == "pulsedive", pulse).when(provider == "shodan", shodan).when(provider == "abusech", ch).otherwise("unknown")
+    some = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
+    shodan = F.when(some(a["tags"]) | some(a["vulns"]), "suspicious").when(some(a["ports"]), "clean").otherwise("unknown")
+    return (
+        F.when(provider == "virustotal", vt).when(provider == "abuseipdb", abuse).when(provider == "otx", otx).when(provider == "greynoise", grey).when(provider == "pulsedive", pulse).when(provider == "shodan", shodan)
+        .when(provider == "abusech", _malware_verdict(a["query_status"], a["data"], F.lit("url") if kind is None else kind)).otherwise("unknown")
+    )
+
+
+def _malware_verdict(status: Column, data: Column, kind: Column) -> Column:
+    """Samples and families are listed with entries and say why they have none; URLs, addresses and names are listed or not."""
+    sample, family = kind.isin("hash_md5", "hash_sha1", "hash_sha256"), kind == "signature"
+    none = F.when(sample, status == "hash_not_found").otherwise(status.isin("signature_not_found", "no_results"))
+    listed = F.coalesce(data.isNotNull() & ~data.isin("[]", "null"), F.lit(False))
+    entries = F.when(none, "unknown").when(F.coalesce(status != "ok", F.lit(True)), "error").when(listed, "malicious").otherwise("unknown")
+    return F.when(sample | family, entries).when(kind.isin("url", "ip", "domain"), F.when(status == "ok", "malicious").otherwise("unknown")).otherwise("not_checked")
 
 
 def locate(ips: DataFrame, ip: str, blocks: DataFrame, widths: list[int] | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lamina.plans import relational, rewriting
+from lamina.plans import relational, rewriting, trips
 
-_MODULES = (relational, rewriting)
+_MODULES = (relational, rewriting, trips)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -118,16 +118,24 @@ def defang_findings(spark, folder):
     return table(spark, folder, "findings").select("id", T.defang(F.col("value"), F.col("type")).alias("value"))
 
 
-@query("classify_findings", f"WITH v AS (SELECT id, {_REFANG.format('trim(value)')} AS v FROM findings WHERE regexp_full_match(value, '[\\x21-\\x7E]*')) SELECT id, CASE WHEN regexp_full_match(v, {_q(V.IPV4)}) THEN 'ip' WHEN regexp_full_match(v, {_q(V.URL)}) THEN 'url' WHEN regexp_full_match(v, {_q(V.SHA256)}) THEN 'hash_sha256' WHEN regexp_full_match(v, {_q(V.SHA1)}) THEN 'hash_sha1' WHEN regexp_full_match(v, {_q(V.MD5)}) THEN 'hash_md5' WHEN regexp_full_match(v, {_q(V.DOMAIN)}) AND lower(split_part(v, '.', -1)) IN ({_TLDS}) THEN 'domain' END AS kind FROM v")
-def classify_findings(spark, folder):
-    return table(spark, folder, "findings").where(F.col("value").rlike(r"^[\x21-\x7E]*\z")).select("id", enrich.classify(F.col("value")).alias("kind"))
+_BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '\\A{_BLANK}+|{_BLANK}+\\z', '', 'g')"
 
 
-@query("classify_all_findings")
-def classify_all_findings(spark, folder):
+# Java's \s of a Unicode pattern, which RE2's isn't.
+_URL_ALL = V.URL.replace(r"[^\s", "[^" + _BLANK[1:-1])
+
+
+@query("classify_findings", f"WITH v AS (SELECT id, {_REFANG.replace('{0}', _stripped('value'))} AS v FROM findings) SELECT id, CASE WHEN regexp_full_match(v, {_q(V.IPV4)}) THEN 'ip' WHEN regexp_full_match(v, {_q(_URL_ALL)}) THEN 'url' WHEN regexp_full_match(v, {_q(V.SHA256)}) THEN 'hash_sha256' WHEN regexp_full_match(v, {_q(V.SHA1)}) THEN 'hash_sha1' WHEN regexp_full_match(v, {_q(V.MD5)}) THEN 'hash_md5' WHEN regexp_full_match(v, {_q(V.DOMAIN)}) AND lower(split_part(v, '.', -1)) IN ({_TLDS}) THEN 'domain' END AS kind FROM v")
+def classify_findings(spark, folder):
     return table(spark, folder, "findings").select("id", enrich.classify(F.col("value")).alias("kind"))
 
 
+# An IPv6 address in full or with one gap, without an IPv4 tail.
+_V6 = r"(?i)(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?"
 _NUM = "CAST(split_part(value, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(value, '.', 2) AS BIGINT) * 65536 + CAST(split_part(value, '.', 3) AS BIGINT) * 256 + CAST(split_part(value, '.', 4) AS BIGINT)"
 
 
@@ -139,26 +147,21 @@ def _in(*nets: str) -> str:
 
 @query(
     "ip_categories",
-    f"WITH v AS (SELECT id, value, CASE WHEN regexp_full_match(value, {_q(V.IPV4)}) THEN {_NUM.replace('CAST', 'TRY_CAST')} END AS n FROM findings WHERE type = 'ip' AND NOT contains(value, ':')) SELECT id, value, CASE WHEN n IS NULL THEN 'invalid' WHEN {_in('192.0.2.0/24', '198.51.100.0/24', '203.0.113.0/24')} THEN 'documentation' WHEN {_in('127.0.0.0/8')} THEN 'loopback' WHEN {_in('169.254.0.0/16')} THEN 'link-local' WHEN {_in('224.0.0.0/4')} THEN 'multicast' WHEN {_in('0.0.0.0/8', '10.0.0.0/8', '172.16.0.0/12', '192.0.0.0/29', '192.0.0.170/31', '192.168.0.0/16', '198.18.0.0/15', '240.0.0.0/4')} THEN 'private' WHEN {_in('100.64.0.0/10')} THEN 'reserved' ELSE 'public' END AS category FROM v",
+    f"WITH v AS (SELECT id, value, CASE WHEN regexp_full_match(value, {_q(V.IPV4)}) THEN {_NUM.replace('CAST', 'TRY_CAST')} END AS n FROM findings WHERE type = 'ip') SELECT id, value, CASE WHEN regexp_full_match(value, {_q(_V6)}) THEN CASE WHEN regexp_full_match(lower(value), '2001:0?db8:.*') THEN 'documentation' WHEN value = '::1' THEN 'loopback' WHEN regexp_full_match(lower(value), 'fe[89ab][0-9a-f]:.*') THEN 'link-local' WHEN regexp_full_match(lower(value), 'ff[0-9a-f]{{2}}:.*') THEN 'multicast' WHEN regexp_full_match(lower(value), 'f[cd][0-9a-f]{{2}}:.*') THEN 'private' ELSE 'public' END WHEN n IS NULL THEN 'invalid' WHEN {_in('192.0.2.0/24', '198.51.100.0/24', '203.0.113.0/24')} THEN 'documentation' WHEN {_in('127.0.0.0/8')} THEN 'loopback' WHEN {_in('169.254.0.0/16')} THEN 'link-local' WHEN {_in('224.0.0.0/4')} THEN 'multicast' WHEN {_in('0.0.0.0/8', '10.0.0.0/8', '172.16.0.0/12', '192.0.0.0/29', '192.0.0.170/31', '192.168.0.0/16', '198.18.0.0/15', '240.0.0.0/4')} THEN 'private' WHEN {_in('100.64.0.0/10')} THEN 'reserved' ELSE 'public' END AS category FROM v",
 )
 def ip_categories(spark, folder):
-    f = table(spark, folder, "findings").where((F.col("type") == "ip") & ~F.col("value").contains(":"))
-    return enrich.ip_category(f.select("id", "value"), "value")
+    return enrich.ip_category(table(spark, folder, "findings").where("type = 'ip'").select("id", "value"), "value")
 
 
-@query("ip_categories_all")
-def ip_categories_all(spark, folder):
-    return enrich.ip_category(table(spark, folder, "findings").where(F.col("type") == "ip").select("id", "value"), "value")
+_HOST = _stripped("value")
+for _pattern in (r"\A.*?://", r"[/?].*\z", r"\A.*@"):
+    _HOST = f"regexp_replace({_HOST}, '{_pattern}', '', 's')"
+_BARE_HOST = _stripped(r"CASE WHEN starts_with(h, '[') THEN regexp_extract(h, '^\[([^\]]*)', 1) WHEN length(h) - length(replace(h, ':', '')) = 1 THEN split_part(h, ':', 1) ELSE h END")
+_RULE_NAMES = ", ".join(_q(n) for n, *_ in V.RULES)
 
 
-@query("scope_skips", f"WITH h AS (SELECT id, type, value, regexp_replace(regexp_replace(regexp_replace(trim(value), '^.*?://', ''), '[/?].*$', ''), '^.*@', '') AS h FROM findings WHERE type IN ('domain', 'url', 'email', 'hash_partial') AND regexp_full_match(value, '[\\x21-\\x5A\\x5E-\\x7E]*')), g AS (SELECT *, lower(regexp_replace(CASE WHEN length(h) - length(replace(h, ':', '')) = 1 THEN regexp_replace(h, ':.*$', '') ELSE h END, '\\.+$', '')) AS host FROM h) SELECT id, CASE WHEN type = 'hash_partial' THEN 'partial_hash' WHEN host <> '' AND contains(host, '.') AND split_part(host, '.', -1) IN ('invalid', 'example', 'test', 'localhost', 'local', 'internal') THEN 'reserved_suffix' WHEN host <> '' AND NOT contains(host, '.') THEN 'single_label' END AS reason FROM g")
+@query("scope_skips", rf"WITH h AS (SELECT id, type, value, {_HOST} AS h FROM findings), g AS (SELECT *, lower(regexp_replace({_BARE_HOST}, '\.+\z', '')) AS host FROM h) SELECT id, CASE WHEN type = 'hash_partial' THEN 'partial_hash' WHEN type = 'signature' AND value IN ({_RULE_NAMES}) THEN 'local_rule' WHEN type IN ('domain', 'url', 'email') AND host <> '' AND contains(host, '.') AND split_part(host, '.', -1) IN ('invalid', 'example', 'test', 'localhost', 'local', 'internal') THEN 'reserved_suffix' WHEN type IN ('domain', 'url', 'email') AND host <> '' AND NOT contains(host, '.') THEN 'single_label' END AS reason FROM g")
 def scope_skips(spark, folder):
-    f = table(spark, folder, "findings").where(F.col("type").isin("domain", "url", "email", "hash_partial") & F.col("value").rlike(r"^[\x21-\x5A\x5E-\x7E]*\z"))
-    return f.select("id", enrich.skip_reason(F.col("type"), F.col("value")).alias("reason"))
-
-
-@query("scope_skips_all")
-def scope_skips_all(spark, folder):
     return table(spark, folder, "findings").select("id", enrich.skip_reason(F.col("type"), F.col("value")).alias("reason"))
 
 
@@ -317,15 +320,8 @@ def event_rates(spark, folder):
     return rates(e, "at", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "events")
 
 
-@query("as_of_events", "SELECT e.event_id, p.event_id AS fact_event_id FROM (SELECT * FROM events WHERE event_id % 2 = 0) e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_id % 2 = 1 GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+@query("as_of_events", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fact_event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL UNION ALL SELECT event_id, NULL FROM events WHERE user_id IS NULL OR ts IS NULL")
 def as_of_events(spark, folder):
-    e = table(spark, folder, "events").select("event_id", "user_id", "ts")
-    facts = e.where("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
-    return enrich.as_of(e.where("event_id % 2 = 0"), facts, ["user_id"], "ts", "ts").select("event_id", "fact_event_id")
-
-
-@query("as_of_all_events", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fact_event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL UNION ALL SELECT event_id, NULL FROM events WHERE user_id IS NULL OR ts IS NULL")
-def as_of_all_events(spark, folder):
     """Each event with the one before it, by time and id; an event asks from just below its own place, so it isn't its own fact."""
     e = table(spark, folder, "events").select("event_id", "user_id", "ts")
     facts = e.where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.struct("ts", "event_id").alias("place"), "event_id")

@@ -143,9 +143,8 @@ def layers_of_analyses(spark, folder):
 
 @query("rewritten_analyses")
 def rewritten_analyses(spark, folder):
-    a = spread(table(spark, folder, "analyses").where("length(deobfuscated_text) > 0"))
     ship(spark)
-    return a.select("id", (L.rewritten(F.col("original_text")) == F.col("deobfuscated_text")).alias("as_stored"))
+    return spread(table(spark, folder, "analyses")).select("id", L.rewritten(F.col("original_text")).alias("text"))
 
 
 @query("languages_of_analyses")
@@ -186,7 +185,7 @@ def indicator_spans(spark, folder):
 
 @query("statements_of_analyses")
 def statements_of_analyses(spark, folder):
-    return S.statements(table(spark, folder, "analyses").where("source_kind IS NOT NULL"), "id", "deobfuscated_text")
+    return S.statements(table(spark, folder, "analyses"), "id", "deobfuscated_text")
 
 
 @query("defanged_documents")
@@ -201,16 +200,22 @@ def rule_explanations(spark, folder):
     return changed.groupBy("rule").agg(F.count(F.lit(1)).alias("changes")).select("rule", S.explained(F.col("rule")).alias("explained"), "changes")
 
 
-@query("provider_links", "SELECT id, 'https://www.virustotal.com/gui/' || CASE WHEN type LIKE 'hash%' THEN 'file/' || value WHEN type = 'domain' THEN 'domain/' || value WHEN type = 'ip_port' THEN 'ip-address/' || regexp_replace(value, ':[0-9]+$', '') ELSE 'ip-address/' || value END AS link FROM findings WHERE type IN ('ip', 'ip_port', 'domain', 'hash_md5', 'hash_sha1', 'hash_sha256') AND regexp_full_match(value, '[A-Za-z0-9.-]+(:[0-9]+)?') AND (type = 'ip_port' OR NOT contains(value, ':'))")
-def provider_links(spark, folder):
-    f = table(spark, folder, "findings").where("type IN ('ip', 'ip_port', 'domain', 'hash_md5', 'hash_sha1', 'hash_sha256')").where(F.col("value").rlike(r"^[A-Za-z0-9.-]+(:[0-9]+)?\z") & ((F.col("type") == "ip_port") | ~F.col("value").contains(":")))
-    return f.select("id", S.provider_link(F.lit("virustotal"), F.col("type"), F.col("value")).alias("link"))
+_BARE = "CASE WHEN g = 'ip' AND length(value) - length(replace(value, ':', '')) = 1 THEN split_part(value, ':', 1) ELSE value END"
+
+
+def _link_sql(provider: str) -> str:
+    pages = {g: u for (p, g), u in S.PAGES.items() if p == provider}
+    parts = " ".join(f"WHEN '{g}' THEN '{u}' || " + ("form" if "?" in u else "path") + (" || '/'" if (provider, g) == ("abusech", "signature") else "") for g, u in pages.items())
+    return f"CASE WHEN value = '' THEN NULL ELSE CASE g {parts} END END AS {provider}"
 
 
-@query("provider_links_all")
-def provider_links_all(spark, folder):
+_PROVIDERS = list(dict.fromkeys(p for p, _ in S.PAGES))
+
+
+@query("provider_links", "WITH g AS (SELECT id, value, CASE WHEN type IN ('ip', 'ip_port') THEN 'ip' WHEN type IN ('hash_md5', 'hash_sha1', 'hash_sha256') THEN 'hash' WHEN type IN ('domain', 'url', 'signature') THEN type END AS g FROM findings), b AS (SELECT *, " + _BARE + " AS bare FROM g), f AS (SELECT *, url_encode(bare) AS path, replace(url_encode(bare), '%20', '+') AS form FROM b) SELECT id, " + ", ".join(map(_link_sql, _PROVIDERS)) + " FROM f")
+def provider_links(spark, folder):
     f = table(spark, folder, "findings")
-    return f.select("id", *(S.provider_link(F.lit(p), F.col("type"), F.col("value")).alias(p) for p in dict.fromkeys(p for p, _ in S.PAGES)))
+    return f.select("id", *(S.provider_link(F.lit(p), F.col("type"), F.col("value")).alias(p) for p in _PROVIDERS))
 
 
 @query("layer_findings_of_analyses")
