@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import values
@@ -10,8 +10,8 @@ from lamina.functions.text import defang
 from lamina.operators.extract import indicators, signatures
 from lamina.session import cut
 
-#: Types of which a value within another of the same text says nothing new, unless a text has more than the limit.
-COLLAPSIBLE, LIMIT = ("user_agent", "registry_key", "mutex", "file_path", "unc_path"), 400
+#: Types of which a value within another of the same text says nothing new.
+COLLAPSIBLE = ("user_agent", "registry_key", "mutex", "file_path", "unc_path")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -34,18 +34,26 @@ def first_of_equals(found: DataFrame, keys: list[str], order: str = "at") -> Dat
     return found.groupBy(*keys, "type", F.lower("value").alias("_l")).agg(first).select(*keys, "type", "_f.*")
 
 
-def without_pieces(found: DataFrame, keys: list[str]) -> DataFrame:
+def without_pieces(found: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Without partial hashes that are a piece of a whole digest of the same text, and without collapsible values within another of
-    their type and text. Both are judged inside one text's own findings, whose number the text bounds; the input is computed once."""
-    own = Window.partitionBy(*keys)  # one text's findings
-    joined = found.withColumns({
-        "_d": F.collect_set(F.when(F.col("type").isin("hash_md5", "hash_sha1", "hash_sha256"), F.lower("value"))).over(own),
-        "_c": F.collect_set(F.when(F.col("type").isin(*COLLAPSIBLE), F.struct("type", "value"))).over(own),
-    })
-    piece = (F.col("type") == "hash_partial") & F.coalesce(F.exists("_d", lambda d: F.contains(d, F.lower("value"))), F.lit(False))
-    peers = F.filter("_c", lambda c: c["type"] == F.col("type"))
-    inside = F.col("type").isin(*COLLAPSIBLE) & F.coalesce((F.size(peers) <= LIMIT) & F.exists(peers, lambda c: (c["value"] != F.col("value")) & F.contains(c["value"], F.col("value"))), F.lit(False))
-    return joined.where(~piece & ~inside).drop("_d", "_c")
+    their type and text. limit: more values of a type than that in one text aren't compared (None: always compared).
+
+    Each text's findings are put together in one row, whose size its text bounds, judged there and taken apart again: one shuffle, and
+    no finding is multiplied by the others."""
+    rest = [c for c in found.columns if c not in keys]
+    own = found.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_f"))
+    digests = F.transform(F.filter("_f", lambda f: f["type"].isin("hash_md5", "hash_sha1", "hash_sha256")), lambda f: F.lower(f["value"]))
+    peers = F.transform(F.filter("_f", lambda f: f["type"].isin(*COLLAPSIBLE)), lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value")))
+    judged = own.withColumns({"_d": digests, "_c": peers})
+
+    def said_elsewhere(f: Column) -> Column:
+        piece = (f["type"] == "hash_partial") & F.exists("_d", lambda d: F.contains(d, F.lower(f["value"])))
+        inside = f["type"].isin(*COLLAPSIBLE) & F.exists("_c", lambda c: (c["type"] == f["type"]) & (c["value"] != f["value"]) & F.contains(c["value"], f["value"]))
+        if limit is not None:
+            inside = inside & (F.size(F.filter("_c", lambda c: c["type"] == f["type"])) <= limit)
+        return F.coalesce(piece, F.lit(False)) | F.coalesce(inside, F.lit(False))
+
+    return judged.select(*keys, F.inline(F.filter("_f", lambda f: ~said_elsewhere(f)))).select(*found.columns)
 
 
 def scan(df: DataFrame, key: str | list[str], text: str, rules: bool = True, everything: bool = True) -> DataFrame:

@@ -33,14 +33,18 @@ def newest(entries: DataFrame, keep: int) -> DataFrame:
     return entries.orderBy(F.col("created_at").desc_nulls_last(), "kind", "id").limit(keep)
 
 
+#: Where a row without a key stands in the order of the keys: before all.
+_NO_KEY = -(1 << 62)
+
+
 def beyond(entries: DataFrame, keep: int, order: str = "created_at", key: str = "id") -> DataFrame:
     """What retention deletes: all but the newest. The border is found by a top-k, then a filter streams over the rest; no window over everything."""
-    border = entries.select(order, key).orderBy(F.col(order).desc_nulls_last(), key).limit(keep).agg(F.min(F.struct(F.coalesce(order, F.lit(float("-inf"))).alias("t"), (-F.col(key)).alias("k"))).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    border = entries.select(order, key).orderBy(F.col(order).desc_nulls_last(), key).limit(keep).agg(F.min(F.struct(F.coalesce(order, F.lit(float("-inf"))).alias("t"), (-F.coalesce(key, F.lit(_NO_KEY))).alias("k"))).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if keep <= 0 or border["n"] < keep:
         return entries if keep <= 0 else entries.where("false")
     t, k = border["b"]["t"], -border["b"]["k"]
     at = F.coalesce(F.col(order), F.lit(float("-inf")))
-    return entries.where((at < t) | ((at == t) & (F.col(key) > k)))
+    return entries.where((at < t) | ((at == t) & (F.coalesce(key, F.lit(_NO_KEY)) > k)))
 
 
 def batch_rollup(analyses: DataFrame, findings: DataFrame) -> DataFrame:

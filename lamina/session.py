@@ -34,11 +34,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else (tests, one machine) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir of the session, else, on one machine alone (tests), a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.lamina.shared", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
         spark.conf.set("spark.lamina.shared", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -69,11 +71,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def _moves_rows(plan) -> bool:
+    """Whether a node of a physical plan puts rows elsewhere or ends a stage: its name is looked at, not what it says of tables and columns."""
+    name, children = plan.nodeName(), plan.children()
+    return any(w in name for w in ("Exchange", "Join", "Aggregate", "Sort", "Window", "Limit", "TakeOrdered")) or any(_moves_rows(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row, over a scan that gives fewer partitions than there are cores (a few small files):
     the rows dealt out to all cores. A scan with enough partitions, the usual case at scale, and anything behind a shuffle stay as they are."""
     execution = df._jdf.queryExecution()
-    if re.search("Exchange|Join|Aggregate|Sort|Window|Limit", execution.executedPlan().toString()):
+    if _moves_rows(execution.sparkPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
