@@ -9,6 +9,7 @@ the search goes on to its successors until a compatible one is found.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,49 +22,65 @@ from lamina.session import cut, table
 GROUP = 16_384
 
 
+class _Open:
+    """Open bins by residual, and of one residual by the bitmap of their sources, so that equally tight bins are searched by kind and not one by one."""
+
+    def __init__(self):
+        self.residuals: list[int] = []
+        self.bins: dict[int, dict[int, list[int]]] = {}
+
+    def put(self, residual: int, mask: int, b: int) -> None:
+        if residual not in self.bins:
+            insort(self.residuals, residual)
+            self.bins[residual] = {}
+        self.bins[residual].setdefault(mask, []).append(b)
+
+    def take(self, least: int, source: int, conflicts) -> tuple[int, int] | None:
+        """(residual, bin) of the tightest bin of at least that residual without a conflict; of equally tight ones, one without the source."""
+        at = bisect_left(self.residuals, least)
+        while at < len(self.residuals):
+            residual = self.residuals[at]
+            kinds = self.bins[residual]
+            for mask in sorted(kinds, key=lambda m: m & source != 0):
+                held = kinds[mask]
+                k = next((k for k in range(len(held) - 1, -1, -1) if not conflicts(held[k])), None)
+                if k is not None:
+                    b = held.pop(k)
+                    if not held:
+                        del kinds[mask]
+                    if not kinds:
+                        del self.bins[residual], self.residuals[at]
+                    return residual, b
+            at += 1
+        return None
+
+
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
     """Bin number of each item. Two items of one cluster never share a bin; of equally tight bins, one without the item's source is taken."""
-    source_bit = {s: i for i, s in enumerate(dict.fromkeys(sources))}
-    seen: dict = {}
-    for c in clusters:
-        seen[c] = seen.get(c, 0) + 1
+    source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
+    seen = Counter(clusters)
     cluster_bit = {c: i for i, c in enumerate(c for c, n in seen.items() if n > 1 and c is not None)}
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], cluster_bit.get(clusters[i], -1), i))
-    left: list[tuple[int, int]] = []  # (residual, bin), ascending
-    holds_source: list[int] = []
-    holds_cluster: list[int] = []
+    bins, holds_source, holds_cluster = _Open(), [], []
     out = [0] * len(sizes)
     last, reached = None, 0
     for i in order:
-        size, c, s = sizes[i], cluster_bit.get(clusters[i]), 1 << source_bit[sources[i]]
+        size, c, s = sizes[i], cluster_bit.get(clusters[i]), source_bit[sources[i]]
         # Items of one size and cluster follow each other: bins the last one passed hold the cluster, so the next begins where it ended.
-        at = bisect_left(left, (max(size, reached) if (size, c) == last and c is not None else size, -1))
-        chosen = None
-        while at < len(left):
-            residual, b = left[at]
-            if c is None or not holds_cluster[b] >> c & 1:
-                chosen = at
-                step = at
-                while step < len(left) and left[step][0] == residual and step - at < 64:  # among equals only, so none tighter is passed over
-                    other = left[step][1]
-                    if not holds_source[other] & s and (c is None or not holds_cluster[other] >> c & 1):
-                        chosen = step
-                        break
-                    step += 1
-                break
-            at += 1
-        if chosen is None:
-            b, residual = len(holds_source), capacity
+        least = max(size, reached) if c is not None and (size, c) == last else size
+        found = bins.take(least, s, (lambda b: False) if c is None else (lambda b: holds_cluster[b] >> c & 1))
+        if found is None:
+            residual, b = capacity, len(holds_source)
             holds_source.append(0)
             holds_cluster.append(0)
         else:
-            residual, b = left.pop(chosen)
-        last, reached = (size, c), residual if chosen is not None else capacity
+            residual, b = found
+        last, reached = (size, c), residual
         holds_source[b] |= s
         if c is not None:
             holds_cluster[b] |= 1 << c
-        if residual - size > 0:
-            insort(left, (residual - size, b))
+        if residual > size:
+            bins.put(residual - size, holds_source[b], b)
         out[i] = b
     return out
 
@@ -75,7 +92,7 @@ def _pack(key, t):
     return t.append_column("bin", pa.array(bins, pa.int64()))
 
 
-def pack(items: DataFrame, containers: list[tuple[str, int]], rounds: int = 3, full: float = 0.98) -> DataFrame:
+def pack(items: DataFrame, containers: list[tuple[str, int]], full: float = 0.98, gain: float = 0.9) -> DataFrame:
     """Items (item LONG, source, cluster LONG, size INT) into containers of each kind (kind, capacity).
 
     Gives kind, capacity, bin, item, piece, first_token, size, fill (share of
@@ -84,7 +101,8 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], rounds: int = 3, f
     item. Copies (items of one cluster) never share a bin; items of a null
     cluster have no copies. Work is split into groups of at most about GROUP
     items by hash, so no group grows with the data; what lies in bins filled
-    below `full` goes into another round of larger mixture, up to `rounds`.
+    below `full` is dealt out anew, until it is one group or a round leaves
+    more than `gain` of what it was given. Pieces of a full bin need no search.
 
     Null or negative sizes and sizes of 0 take no room and are left out; a
     null source is a source; an item twice is two items; no items or no
@@ -97,9 +115,12 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], rounds: int = 3, f
         "kind", "capacity", "item", "source", "cluster", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.least(F.col("capacity"), F.col("whole") - F.col("piece") * F.col("capacity")).alias("size")
     )
     schema = "kind string, capacity int, item long, source string, cluster long, piece int, first_token int, size int, grp long, bin long"
-    todo, done = cut(pieces), []
-    for turn in range(rounds):
-        # Full pieces need no search, the rest is spread over groups by hash.
+    columns = ["kind", "capacity", "item", "piece", "first_token", "size", "bin", "fill"]
+    cut_ = cut(pieces)
+    alone = cut_.where("size = capacity").select(*columns[:6], F.concat_ws("-", F.lit("f"), "item", "piece", F.monotonically_increasing_id()).alias("bin"), F.lit(1.0).alias("fill"))
+    todo, done = cut_.where("size < capacity"), []
+    turn, before = 0, None
+    while True:
         count = {r["kind"]: r["n"] for r in todo.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a kind
         if not count:
             break
@@ -110,14 +131,13 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], rounds: int = 3, f
             .withColumn("bin", F.concat_ws("-", F.lit(turn), "grp", "bin"))
         )
         filled = placed.withColumn("fill", F.sum("size").over(_window("kind", "bin")) / F.col("capacity"))
-        single = all(n <= GROUP for n in count.values())
-        last = turn == rounds - 1 or single
-        done.append((filled if last else filled.where(F.col("fill") >= full)).drop("grp", "source", "cluster"))
+        now = sum(count.values())
+        last = all(n <= GROUP for n in count.values()) or before is not None and now > gain * before
+        done.append((filled if last else filled.where(F.col("fill") >= full)).select(*columns))
         if last:
             break
-        todo = cut(filled.where(F.col("fill") < full).drop("grp", "bin", "fill"))
-    if not done:
-        return pieces.where("false").select("kind", "capacity", "item", "piece", "first_token", "size", F.lit("").alias("bin"), F.lit(0.0).alias("fill"))
+        todo, turn, before = cut(filled.where(F.col("fill") < full).drop("grp", "bin", "fill")), turn + 1, now
+    done.append(alone)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
