@@ -17,7 +17,7 @@ from typing import NamedTuple
 from urllib.parse import unquote
 
 from lamina.functions.values import ALIASES, STOCK
-from lamina.kernel import batch
+from lamina.kernel import batch, decoders
 from lamina.kernel.psexpr import MOST_DEPTH, Parser, Stop, quote, shown, tokens
 
 MOST_ROUNDS = 20
@@ -359,6 +359,27 @@ def vb_variables(text: str) -> str:
     return _propagate(text, _VB_DECLARE, True, _VB_STRING)
 
 
+_ENCODED_LITERAL = re.compile(r"'([A-Za-z0-9+/=_-]{24,}|(?:[^'\n%]*%[0-9A-Fa-f]{2}){3,}[^'\n]*)'")
+
+
+def ps_search(text: str) -> str:
+    """Encoded literals that a recipe reads, in plain text. What reads as a script is left for a layer of its own, a digest is a value itself."""
+
+    def put(m: re.Match) -> str:
+        run = m.group(1)
+        if re.fullmatch("[0-9A-Fa-f]+", run) and len(run) in (32, 40, 56, 64, 96, 128) or sum(any(map(f, run)) for f in (str.islower, str.isupper, str.isdigit)) < 2:
+            return m.group()
+        found = decoders.search(run)
+        plain = found is not None and "\n" not in found.output and found.output.isprintable() and language(found.output) == "text"
+        return quote(found.output) if plain else m.group()
+
+    return _ENCODED_LITERAL.sub(put, text)
+
+
+#: Rules that are tried only where a round of all others changed nothing.
+LAST: dict[str, list[tuple[str, Callable[[str], str]]]] = {"powershell": [("search", ps_search)]}
+LAST["text"] = LAST["unknown"] = LAST["powershell"]
+
 #: The rules of each language, in order; what is no script of a known kind is read like PowerShell.
 RULES: dict[str, list[tuple[str, Callable[[str], str]]]] = {
     "powershell": [("quotes", ps_quotes), ("backticks", ps_backticks), ("calls", ps_calls), ("aliases", ps_aliases), ("stock", ps_stock), ("casts", ps_casts), ("loops", ps_loops), ("fold", ps_fold)],
@@ -439,14 +460,16 @@ def rewrite(text: str, lang: str, growth: int = 100) -> tuple[str, list[Change],
     limit = max(1_000_000, growth * len(text))
     for n in range(1, MOST_ROUNDS + 1):
         start = text
-        for name, rule in rules:
+        for k, (name, rule) in enumerate((*rules, *LAST.get(lang, ()))):
+            if k >= len(rules) and text != start:
+                break
             try:
                 new = rule(text)
             except (RecursionError, ValueError, IndexError, OverflowError, re.error):
                 continue  # one rule's failure is no failure of the text
             if new != text and len(new) <= limit and faults(new, lang) <= faults(text, lang):
-                k = next((i for i, (a, b) in enumerate(zip(text, new)) if a != b), min(len(text), len(new)))
-                changes.append(Change(n, name, text[max(0, k - 16) : k + 80], new[max(0, k - 16) : k + 80]))
+                at = next((i for i, (a, b) in enumerate(zip(text, new)) if a != b), min(len(text), len(new)))
+                changes.append(Change(n, name, text[max(0, at - 16) : at + 80], new[max(0, at - 16) : at + 80]))
                 text = new
         if text == start or lang in ONCE:
             return text, changes, n, True

@@ -132,7 +132,7 @@ EXPLANATIONS = {
     "fold": "A constant expression was computed and its text put in its place.", "backticks": "Backticks that only break up a word were removed.", "quotes": "Typographic quotes and dashes were made plain.", "calls": "A command called by its name in quotes is shown by the name.",
     "aliases": "A short name of a command was written out.", "stock": "A variable every system sets was read with its usual value; this is assumed.", "loops": "A loop that decodes bytes with a constant key was computed.", "codes": "Character codes were turned into their characters.",
     "decoders": "A decoding call on a constant was carried out.", "concat": "Adjacent pieces of text were joined.", "methods": "A string method on a constant was carried out.", "calls_vb": "A string function on a constant was carried out.", "variables": "A variable set once was replaced by its text.",
-    "parse": "Percent variables and carets were resolved as the command interpreter does.", "lines": "Continued lines were joined.", "members": "A member named by a string is shown with a dot.", "constants": "A named character constant was put in.", "casts": "A cast that changes nothing was removed.",
+    "parse": "Percent variables and carets were resolved as the command interpreter does.", "lines": "Continued lines were joined.", "members": "A member named by a string is shown with a dot.", "constants": "A named character constant was put in.", "search": "An encoded literal was read by the decoders that fit.", "casts": "A cast that changes nothing was removed.",
 }
 
 

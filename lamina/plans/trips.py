@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import checks
 from lamina.functions import values as V
-from lamina.operators import enrich, extract, findings
+from lamina.operators import enrich, findings, reports
 from lamina.operators import layers as L
 from lamina.operators import surveys as S
 from lamina.plans.rewriting import _HALF, _LINE, _b64, _codes
@@ -87,6 +87,7 @@ trip("ps_call_literal", "powershell", lambda c: lit("& 'Write-Host' '", c, "'"),
 trip("ps_stock_variable", "powershell", lambda c: lit("$x = $ShellId[1] + $ShellId[13] + 'x ", c, "'"), "'$x = ''iex ' || p_name || ''''")
 trip("ps_string_cast", "powershell", lambda c: lit("$x = [string]'", c, "'"))
 trip("ps_quotes_in_strings", "powershell", lambda c: lit("$x = 'a – ", c, "'"), "'$x = ''a – ' || p_name || ''''")
+trip("ps_search_in_place", "powershell", lambda c: lit("$x = '", _b64(F.encode(lit(_LINE, _listed(c, "-"), " now and then"), "UTF-8")), "'"), f"'$x = ''{_LINE}' || replace(p_name, ' ', '-') || ' now and then'''")
 trip("js_split_join", "javascript", lambda c: lit("var x = '", _listed(c, "-"), "'.split('-').join(' ');"), "'var x = ''' || p_name || ''';'")
 trip("js_substring", "javascript", lambda c: lit("var x = 'zz", c, "zz'.substring(2, ", (F.length(c) + 2).cast("string"), ");"), "'var x = ''' || p_name || ''';'")
 trip("js_slice", "javascript", lambda c: lit("var x = 'zz", c, "zz'.slice(2, -2);"), "'var x = ''' || p_name || ''';'")
@@ -328,3 +329,60 @@ def language_cases(spark, folder):
     ship(spark)
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_LANGUAGES)], "number int, text string")
     return rows.select("number", L.language_of(F.col("text")).alias("language"))
+
+
+# -- what reports are made of
+
+_SEVERITY_COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in V.SEVERITIES)
+_CHEF = "recipe=%5B%7B%22op%22%3A%22Magic%22%2C%22args%22%3A%5B4%2Ctrue%2Cfalse%2C%22%22%5D%7D%5D"
+_ABLE = ", ".join(sorted({f"'{t}'" for types in V.CAPABILITY.values() for t in types}))
+
+
+@query("html_escaped", "SELECT id, replace(replace(replace(replace(replace(value, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS value FROM findings")
+def html_escaped(spark, folder):
+    return table(spark, folder, "findings").select("id", reports.html_escaped(F.col("value")).alias("value"))
+
+
+@query("capped_texts", "SELECT id, left(original_text, 500) AS original_text, coalesce(length(original_text) > 500, false) AS truncated FROM analyses")
+def capped_texts(spark, folder):
+    return reports.capped(table(spark, folder, "analyses").select("id", "original_text"), "original_text", 500)
+
+
+@query("batch_totals", f"SELECT batch_id, count(DISTINCT analysis_id) AS analyses, count(*) AS findings, {_SEVERITY_COUNTS} FROM findings f JOIN analyses a ON a.id = f.analysis_id WHERE batch_id IS NOT NULL GROUP BY batch_id")
+def batch_totals(spark, folder):
+    members = table(spark, folder, "analyses").where("batch_id IS NOT NULL").select(F.col("id").alias("analysis_id"), "batch_id")
+    return reports.report_totals(table(spark, folder, "findings").join(members, "analysis_id"), ["batch_id"])
+
+
+@query("asked_counts", f"SELECT analysis_id, count(*) AS findings, count(*) FILTER (type IN ({_ABLE})) AS queried, count(DISTINCT value) FILTER (type = 'ip') AS located FROM findings GROUP BY analysis_id")
+def asked_counts(spark, folder):
+    return reports.asked_counts(table(spark, folder, "findings"))
+
+
+@query("addresses_in_order", "WITH f AS (SELECT analysis_id, value, min(id) AS first FROM findings WHERE type = 'ip' AND value IS NOT NULL GROUP BY ALL) SELECT analysis_id, value, CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY first, value) AS INTEGER) AS place FROM f")
+def addresses_in_order(spark, folder):
+    return reports.addresses(table(spark, folder, "findings"))
+
+
+@query("chef_links", f"SELECT id, CASE WHEN octet_length(encode(value)) BETWEEN 1 AND 200000 THEN '{_CHEF}&input=' || replace(replace(replace(to_base64(encode(value)), '+', '%2B'), '/', '%2F'), '=', '%3D') ELSE '{_CHEF}' END AS link FROM findings")
+def chef_links(spark, folder):
+    return table(spark, folder, "findings").select("id", reports.chef_link(F.col("value")).alias("link"))
+
+
+@query("intel_details", "SELECT finding_id, count(*) AS answers, left(string_agg(detail, ', ' ORDER BY detail) FILTER (detail <> ''), 320) AS detail FROM finding_intel GROUP BY finding_id")
+def intel_details(spark, folder):
+    held = table(spark, folder, "finding_intel").groupBy("finding_id").agg(F.count(F.lit(1)).alias("answers"), F.array_sort(F.collect_list(F.when(F.col("detail") != "", F.col("detail")))).alias("d"))
+    return held.select("finding_id", "answers", F.when(F.size("d") > 0, F.left(F.array_join("d", ", "), F.lit(320))).alias("detail"))
+
+
+@query("provider_order", "WITH e AS (SELECT DISTINCT finding_id, coalesce(lower(trim(verdict)) = 'not_checked', false) AS last, source FROM finding_intel WHERE source IS NOT NULL) SELECT finding_id, string_agg(source, ',' ORDER BY last, source) AS sources FROM e GROUP BY finding_id")
+def provider_order(spark, folder):
+    return reports.provider_order(table(spark, folder, "finding_intel")).select("finding_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query("settings_upserted", "SELECT source AS key, arg_max(verdict, (fetched_at, verdict)) AS value FROM intel_cache WHERE fetched_at IS NOT NULL AND verdict IS NOT NULL GROUP BY source")
+def settings_upserted(spark, folder):
+    """Every source's newest verdict, put over its oldest."""
+    c = table(spark, folder, "intel_cache").where("fetched_at IS NOT NULL AND verdict IS NOT NULL").groupBy(F.col("source").alias("key"))
+    at = F.struct("fetched_at", "verdict")
+    return reports.upserted(c.agg(F.min_by("verdict", at).alias("value")), c.agg(F.max_by("verdict", at).alias("value")))
