@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lamina.llm import increment, lookalike, mojibake, packing, passages, quality, variants
+from lamina.llm import filters, increment, lookalike, mojibake, packing, passages, quality, variants
 from lamina.llm.heavy import Sketch
 from lamina.llm.quality_holdout import HOLDOUT
 
@@ -181,8 +181,8 @@ def test_runs_and_winnowing():
 
 
 def test_bloom_positions():
-    h = np.arange(1, 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.zeros(1 << 13, np.uint8)
-    variants._set(bits, variants.positions(h[:500], 16).ravel())
-    assert variants._test(bits, variants.positions(h[:500], 16)).all(axis=0).all()
-    assert variants._test(bits, variants.positions(h[500:], 16)).all(axis=0).mean() < 0.01
+    rng = np.random.default_rng(0)
+    held, other = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    b = filters.Bloom(16 * 5000)
+    b.add(held)
+    assert b.has(held).all() and b.has(other).mean() < 0.02 and filters.Bloom.read(b.cells.tobytes()).has(held).all() and 0.1 < b.full() < 0.5
