@@ -281,12 +281,6 @@ def search(text: str) -> Recipe | None:
 _RUNS = (re.compile(r"['\"]([^'\"\n]{16,})['\"]"), re.compile(r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/=_-]{24,})(?![A-Za-z0-9+/=_-])"), re.compile(r"(?m)^\s*([0-9A-Fa-fx\\,; ]{24,})\s*$"))
 
 
-def candidates(text: str, most: int = 200) -> list[str]:
-    """Different runs worth a search, in the order they stand in: quoted literals, bare runs, lines of data."""
-    out: dict[str, None] = {}
-    for p in _RUNS:
-        for m in p.finditer(text):
-            out.setdefault(m.group(1))
-            if len(out) >= most:
-                return list(out)
-    return list(out)
+def candidates(text: str) -> list[str]:
+    """The different runs worth a search, in the order they stand in: quoted literals, bare runs, lines of data."""
+    return list(dict.fromkeys(m.group(1) for p in _RUNS for m in p.finditer(text)))

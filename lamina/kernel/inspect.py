@@ -11,7 +11,6 @@ from lamina.functions import checks, values
 from lamina.kernel import decoders
 from lamina.kernel.psexpr import Parser, Stop, tokens
 
-MOST_STATEMENTS = 5000
 #: Hexadecimal runs of these lengths are digests.
 DIGESTS = (40, 56, 64, 96, 128)
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -71,14 +70,14 @@ def masked(text: str) -> str:
 
 
 def statements(text: str) -> list[str]:
-    """Top-level statements: cut at line ends and semicolons outside brackets and strings. Beyond the limit the rest is one statement; nothing is lost."""
+    """Top-level statements: cut at line ends and semicolons outside brackets and strings."""
     out, depth, start = [], 0, 0
     for t in tokens(text):
         if t.kind == "punct" and t.text in "([{":
             depth += 1
         elif t.kind == "punct" and t.text in ")]}":
             depth = max(0, depth - 1)
-        elif depth == 0 and (t.kind == "line" or t.text == ";") and len(out) < MOST_STATEMENTS - 1:
+        elif depth == 0 and (t.kind == "line" or t.text == ";"):
             if text[start : t.start].strip():
                 out.append(text[start : t.start].strip())
             start = t.end

@@ -31,6 +31,8 @@ class Layer:
     sha256: str = ""
     changes: list[Change] = field(default_factory=list)
     variables: dict[str, str] = field(default_factory=dict)
+    #: Why which stage that this layer hands over is no layer.
+    refused: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -145,24 +147,33 @@ def analyse(text: str | None, most_levels: int = MOST_LEVELS, most_layers: int =
         lang = "command" if layer.detail == "cmd" and layer.language == "batch" else layer.language
         layer.final, layer.changes, layer.rounds, layer.converged = rewrite(layer.content, lang)
         layer.variables = variables(layer.content if lang in ONCE else layer.final, lang)
-        for content, hint, edge, detail in handoffs(layer.final, layer.language, limits):
+        packed: list[str] = []
+        handed = handoffs(layer.final, layer.language, packed)
+        limits += packed
+        layer.refused += packed
+        for content, hint, edge, detail in handed:
             mark = hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()
+
+            def refuse(reason: str, said: str = f"{edge} {detail}, {len(content)} characters", layer: Layer = layer) -> None:
+                limits.append(reason)
+                layer.refused.append(f"{reason}: {said}")
+
             if mark in known:
                 at = layer
                 while at is not None and at.sha256 != mark:
                     at = by.get(at.parent)
                 if at is not None:
-                    limits.append("cycle")
+                    refuse("cycle")
                 continue
             if layer.depth + 1 > most_levels:
-                limits.append("max_layer_depth")
+                refuse("max_layer_depth")
                 continue
             if len(layers) >= most_layers:
-                limits.append("max_artifacts")
-                break
+                refuse("max_artifacts")
+                continue
             used += len(content)
             if used > MOST_BYTES or len(content) > MOST_RATIO * max(1000, len(layer.content)):
-                limits.append("max_decoded_bytes_total")
+                refuse("max_decoded_bytes_total")
                 continue
             child = Layer(len(layers) + 1, layer.id, layer.depth + 1, language(content, hint), edge, detail, content, sha256=mark)
             known[mark], by[child.id] = child.id, child

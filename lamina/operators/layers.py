@@ -17,13 +17,13 @@ from lamina.operators.findings import first_of_equals, scan, without_pieces
 from lamina.operators.surveys import masked_text
 from lamina.session import cut, ship, spread
 
-LAYER = "layer_id int, parent_id int, depth int, path string, language string, edge string, detail string, content string, final string, sha256 string, rounds int, converged boolean, variables map<string,string>, rules array<string>, limits array<string>, error string"
+LAYER = "layer_id int, parent_id int, depth int, path string, language string, edge string, detail string, content string, final string, sha256 string, rounds int, converged boolean, variables map<string,string>, rules array<string>, limits array<string>, refused array<string>, error string"
 
 
 def _layers(batches, most: int = 64_000_000):
     from lamina.kernel import layers as K
 
-    types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 7, pa.int32(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 7, pa.int32(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
     names = ["mark", *(f.strip().split(" ")[0] for f in LAYER.replace("map<string,string>", "map").split(","))]
 
     def batch(out):
@@ -37,13 +37,13 @@ def _layers(batches, most: int = 64_000_000):
                     r = K.analyse(text)
                     for x in r.layers:
                         safe = [v.encode("utf-8", "replace").decode() for v in (x.content, x.final)]
-                        out.append((mark, x.id, x.parent, x.depth, r.path(x), x.language, x.edge, x.detail, *safe, x.sha256, x.rounds, x.converged, [(k, v.encode("utf-8", "replace").decode()) for k, v in x.variables.items()], [c.rule for c in x.changes], r.limits, None))
+                        out.append((mark, x.id, x.parent, x.depth, r.path(x), x.language, x.edge, x.detail, *safe, x.sha256, x.rounds, x.converged, [(k, v.encode("utf-8", "replace").decode()) for k, v in x.variables.items()], [c.rule for c in x.changes], r.limits, x.refused, None))
                         held += len(x.content) + len(x.final)
                         if held > most:  # stages of many MB don't pile up
                             yield batch(out)
                             out, held = [], 0
                 except Exception as e:  # noqa: BLE001 - one document's failure is a row, never a failed task
-                    out.append((mark, 1, None, 0, "1", "unknown", None, None, text, text, None, 0, False, [], [], [], type(e).__name__))
+                    out.append((mark, 1, None, 0, "1", "unknown", None, None, text, text, None, 0, False, [], [], [], [], type(e).__name__))
             yield batch(out)
 
 

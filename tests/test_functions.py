@@ -246,7 +246,8 @@ def test_inspect():
     from lamina.kernel import inspect
 
     assert inspect.statements("$a = 1; if ($b) { c; d }\ne 'x;y'") == ["$a = 1", "if ($b) { c; d }", "e 'x;y'"]
-    assert len(inspect.statements("a;" * 6000)) == inspect.MOST_STATEMENTS
+    assert len(inspect.statements("a;" * 6000)) == 6000
+    assert len(decoders.candidates("\n".join(f"x = 'value-number-{i:06d}'" for i in range(500)))) >= 500
     assert inspect.revealed('$a = "q"; Write-Host "x $a" "$b"', {"a": "q"}) == ["x q"]
     assert inspect.masked("'http://x.test/a'.Replace('a','b') 'http://y.test/'") == "'               '.Replace('a','b') 'http://y.test/'"
     assert inspect.defanged("see http://a.test/x and 10.0.0.1:80 or e.g. this") == "see hxxp://a[.]test/x and 10[.]0[.]0[.]1:80 or e.g. this"
@@ -255,3 +256,11 @@ def test_inspect():
     assert all(len(b) <= 99 for b in inspect.residual_blobs(noise * 2))
     for odd in ("", "'" * 999, "(" * 999, "é" * 999):
         inspect.statements(odd), inspect.residual(odd), inspect.masked(odd), inspect.defanged(odd)
+
+
+def test_refused_stages_are_named():
+    inner = "Write-Host 'x'; $q = 1"
+    for _ in range(4):
+        inner = "iex '" + inner.replace("'", "''") + "'"
+    r = layers.analyse("$z = 1\n" + inner, most_levels=2)
+    assert r.limits == ["max_layer_depth"] and [len(x.refused) for x in r.layers] == [0, 0, 1] and r.layers[2].refused[0].startswith("max_layer_depth: HANDOFF invoke-expression, ")
