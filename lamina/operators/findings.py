@@ -65,9 +65,14 @@ def scan(df: DataFrame, key: str | list[str], text: str, rules: bool = True, eve
     return kept.select(*keys, "type", "value", "severity", "mitre", defang(F.col("value"), F.col("type")).alias("defanged_value"))
 
 
+def scan_order() -> list[Column]:
+    """Severity, type and value, all falling."""
+    return [severity_rank(F.col("severity")).desc(), F.col("type").desc(), F.lower("value").desc()]
+
+
 def in_scan_order(found: DataFrame) -> DataFrame:
-    """Severity, type and value, all falling. The input is written first: a global sort samples it and would compute it twice."""
-    return cut(found).orderBy(severity_rank(F.col("severity")).desc(), F.col("type").desc(), F.lower("value").desc())
+    """All findings in the order of a scan. The input is written first: a global sort samples it and would compute it twice."""
+    return cut(found).orderBy(*scan_order())
 
 
 def in_stored_order(found: DataFrame) -> DataFrame:
