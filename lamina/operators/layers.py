@@ -56,7 +56,8 @@ def layers(df: DataFrame, key: str, text: str) -> DataFrame:
     marked = spread(df.select(key, text)).select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("mark", F.sha2("_t", 256))
     different = marked.groupBy("mark").agg(F.first("_t").alias("_t"))
     found = different.mapInArrow(_layers, "mark string, " + LAYER)
-    return marked.select(key, "mark").join(found, "mark").drop("mark")
+    # Both sides are as many as the documents: what the file's size lets the planner guess of them must never make a broadcast of one.
+    return marked.select(key, "mark").join(found.hint("merge"), "mark").drop("mark")
 
 
 def rewritten(text: Column, language: Column | None = None) -> Column:

@@ -235,3 +235,11 @@ def test_rate_windows_across_slices(spark):
     df = spark.createDataFrame([(i, "p", t) for i, t in enumerate(times)] + [(99, None, 0.0)], "i int, p string, t double")
     got = {r["i"]: r["in_window"] for r in enrich.rate_windows(df, "p", "t").collect()}
     assert got == {**{i: sum(t - 60 <= u <= t for u in times) for i, t in enumerate(times)}, 99: 1}
+
+
+def test_layers_never_broadcast_the_documents(spark):
+    docs = spark.range(40).select("id", F.concat(F.lit("Write-Host "), (F.col("id") % 7).cast("string")).alias("text"))
+    out = layers.layers(docs, "id", "text")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count() == 40
