@@ -77,8 +77,8 @@ def collapse(findings: DataFrame) -> DataFrame:
 
 
 def copies(findings: DataFrame) -> DataFrame:
-    """(rep_id, copy_id) for each indicator stated in at least two different writings. See collapse() for the cases."""
-    again = Split(keyed_findings(findings.where("id is not null"))).again()
+    """(rep_id, copy_id) for each indicator stated in at least two different writings; a row without an id is a writing too. See collapse() for the cases."""
+    again = Split(keyed_findings(findings)).again()
     writing = F.struct("type", "value")
     groups = again.groupBy("key").agg(F.min("id").alias("rep_id"), F.min(writing).alias("least"), F.max(writing).alias("most"))
     cases = groups.where("least != most").select("key", "rep_id")

@@ -48,6 +48,11 @@ def test_variants(spark):
     assert variants.copies(df.limit(0)).count() == 0 and variants.collapse(df.limit(0)).count() == 0
 
 
+def test_variants_without_id_count_as_writings(spark):
+    df = spark.createDataFrame([(1, "ip", "10.0.0.1"), (2, "ip", "10.0.0.1"), (None, "ip", "10[.]0[.]0[.]1"), (None, "url", "x"), (None, "url", "X")], "id long, type string, value string")
+    assert rows(variants.copies(df)) == [(1, 2)]
+
+
 def test_variants_hot_key(spark):
     df = spark.range(6000).selectExpr("id", "'ip' AS type", "CASE WHEN id % 3 = 0 THEN '10.0.0.1' WHEN id = 1 THEN '10[.]0[.]0[.]1' ELSE concat('10.0.', id, '.7') END AS value")
     assert variants.copies(df).count() == 2000
