@@ -2,7 +2,9 @@
 
 Method: gradient-boosted trees over document statistics, trained on weakly
 labelled prose and structural junk and mixtures of both, with probabilities
-calibrated on a hand-checked holdout (quality_holdout.py).
+calibrated on a hand-checked holdout (quality_holdout.py). All texts take part
+in the fit: word order, bins and trees come from counts that tasks add up in
+whole numbers, so the model doesn't depend on how the rows lie.
 """
 
 from __future__ import annotations
@@ -13,17 +15,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.session import ship, spread, table
+from lamina.session import parallelism, remove, scratch, ship, spread, table
 
 NAMES = (
     "chars", "words", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "lines", "mean_line_length", "line_length_spread", "ends_in_punctuation", "starts_upper", "common_share",
     "distinct_words", "letter_words", "bullet_share", "stamp_share", "label_share", "table_share", "code_share", "plain_share", "sentence_share", "loose_share", "sentence_length", "longest_word", "commas", "wrapped_share", "flow",
 )
-#: Labelled rows the trees are fitted on, at most; they come from a hash of the text, so the choice is the same at every run.
-SAMPLE = 4000
+#: Texts and characters that are mixed with each other in one task, about; rows that a task of the fit holds.
+BLOCK, BLOCK_CHARS, ROWS = 4000, 16_000_000, 500_000
+#: Parts of one in which slopes are added up, and of a bit in which word orders are counted.
+_UNIT, _FINE = 1 << 20, 10_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN = re.compile(r"\S+")
@@ -163,14 +168,15 @@ def statistics(text: str | None, words: frozenset) -> list[float]:
 class Flow:
     """How usual the order of words is: the mean logarithm of the chance that a word follows the one before, all words that aren't common counting as one. Tells running text from words thrown together."""
 
-    def __init__(self, texts: list[str], words: frozenset):
+    def __init__(self, texts: list[str], words: frozenset, counted: dict[tuple[str, str], int] | None = None):
+        """counted: how often each pair stands in texts that were counted elsewhere."""
         self.words, self.chance = words, {}
-        pairs: dict[tuple[str, str], int] = {}
-        before: dict[str, int] = {}
+        pairs = Counter(counted or {})
         for t in texts:
-            for a, b in self.pairs(t):
-                pairs[a, b] = pairs.get((a, b), 0) + 1
-                before[a] = before.get(a, 0) + 1
+            pairs.update(self.pairs(t))
+        before: dict[str, int] = {}
+        for (a, _), n in pairs.items():
+            before[a] = before.get(a, 0) + n
         kinds = len(words) + 1
         self.unseen = {a: float(np.log2(0.5 / (n + 0.5 * kinds))) for a, n in before.items()}
         self.chance = {(a, b): float(np.log2((n + 0.5) / (before[a] + 0.5 * kinds))) for (a, b), n in pairs.items()}
@@ -236,6 +242,45 @@ class Trees:
             self.trees.append((feature, limit, value))
         return self
 
+    def grow(self, edges: list[np.ndarray], totals: tuple[int, float], sums) -> "Trees":
+        """fit() over rows that lie elsewhere. totals: their number and the sum of their labels. sums(self, tree, nodes): for these nodes of the
+        tree being grown an array (node, feature, bin, 3) of the sums of slopes and curvatures, in parts of _UNIT, and of the numbers of rows."""
+        mean = float(np.clip(totals[1] / totals[0], 1e-3, 1 - 1e-3))
+        self.base = float(np.log(mean / (1 - mean)))
+        size, inner = (1 << (self.depth + 1)) - 1, (1 << self.depth) - 1
+        for _ in range(self.rounds):
+            tree = feature, limit, value = np.full(size, -1), np.zeros(size), np.zeros(size)
+            cuts, nodes = np.zeros(size, int), [0]
+            while nodes:
+                following = []
+                for k, every in zip(nodes, sums(self, (feature, cuts), nodes)):
+                    g, h, n = every[:, :, 0] / _UNIT, every[:, :, 1] / _UNIT, every[:, :, 2]
+                    all_g, all_h, all_n = g[0].sum(), h[0].sum(), n[0].sum()
+                    if k == 0:
+                        value[0] = self.rate * all_g / (all_h + 1.0)
+                    if all_n < 2 * self.least:
+                        continue
+                    best, choice = 1e-6, None
+                    for j, e in enumerate(edges):
+                        if not len(e):
+                            continue
+                        gs, hs, ns = (np.cumsum(v[j])[: len(e)] for v in (g, h, n))
+                        gain = gs**2 / (hs + 1.0) + (all_g - gs) ** 2 / (all_h - hs + 1.0) - all_g**2 / (all_h + 1.0)
+                        gain[(ns < self.least) | (all_n - ns < self.least)] = -1
+                        c = int(gain.argmax())
+                        if gain[c] > best:
+                            best, choice = gain[c], (j, c, gs[c], hs[c])
+                    if choice:
+                        j, c, left_g, left_h = choice
+                        feature[k], limit[k], cuts[k] = j, edges[j][c], c
+                        value[2 * k + 1] = self.rate * left_g / (left_h + 1.0)
+                        value[2 * k + 2] = self.rate * (all_g - left_g) / (all_h - left_h + 1.0)
+                        following += [x for x in (2 * k + 1, 2 * k + 2) if x < inner]
+                nodes = following
+            self.trees.append(tree)
+            sums(self, (feature, cuts, value), None)
+        return self
+
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
         for feature, limit, value in self.trees:
@@ -274,23 +319,9 @@ def weak_label(figures: list[float]) -> int | None:
     return None
 
 
-def training_set(texts: list[str], words: frozenset, seed: int = 7) -> tuple[np.ndarray, np.ndarray, Flow]:
-    """Figures and labels of plain cases and of what is made of them: mixtures of lines of prose and of junk, labelled by the
-    share of characters, and prose with its words thrown together, which is junk. Also the word order of the prose."""
-    rng = np.random.default_rng(seed)
-    labelled = [(t, y) for t in texts if (y := weak_label(statistics(t, words))) is not None]
-    prose, junk = [t for t, y in labelled if y == 1], [t for t, y in labelled if y == 0 and t.strip()]
-    flow = Flow(prose, words)
-    if len(prose) >= 20:
-        # What has the form of prose but by far not its word order is rubbish.
-        order = np.array([flow.of(t) for t in prose])
-        middle = np.median(order)
-        spread = np.median(np.abs(order - middle)) * 1.4826
-        odd = {t for t, o in zip(prose, order) if o < middle - max(5 * spread, 0.8)}
-        prose = [t for t in prose if t not in odd]
-        flow = Flow(prose, words)
-        labelled = [(t, 0 if t in odd else y) for t, y in labelled]
-    made = list(labelled)
+def mixed(prose: list[str], junk: list[str], times: int, rng: np.random.Generator) -> list[tuple[str, int]]:
+    """Labelled texts made of prose and of junk; `times` pairs are tried."""
+    made = []
     for t in prose:
         if rng.integers(3) == 0:
             parts = t.split()
@@ -298,7 +329,7 @@ def training_set(texts: list[str], words: frozenset, seed: int = 7) -> tuple[np.
             width = int(rng.integers(6, 40))
             made.append(("\n".join(" ".join(parts[i : i + width]) for i in range(0, len(parts), width)), 0))
     if prose and junk:
-        for _ in range(len(labelled)):
+        for _ in range(times):
             a, b = prose[rng.integers(len(prose))], junk[rng.integers(len(junk))]
             share = rng.uniform(0.05, 0.95)
             # Cut the longer part so that the prose has about that share.
@@ -308,14 +339,253 @@ def training_set(texts: list[str], words: frozenset, seed: int = 7) -> tuple[np.
             real = len(a) / (len(a) + len(b))
             if abs(real - 0.5) >= 0.03:
                 made.append((a + "\n" + b if rng.integers(2) else b + "\n" + a, int(real >= 0.5)))
+    return made
+
+
+def training_set(texts: list[str], words: frozenset, seed: int = 7) -> tuple[np.ndarray, np.ndarray, Flow]:
+    """Figures and labels of plain cases and of what is made of them: mixtures of lines of prose and of junk, labelled by the
+    share of characters, and prose with its words thrown together, which is junk. Also the word order of the prose."""
+    rng = np.random.default_rng(seed)
+    labelled = [(t, y) for t in texts if (y := weak_label(statistics(t, words))) is not None]
+    prose, junk = [t for t, y in labelled if y == 1], [t for t, y in labelled if y == 0 and t.strip()]
+    flow = Flow(prose, words)
+    if len(prose) >= 20:
+        # What has the form of prose but by far not its word order is rubbish.
+        order = np.array([flow.of(t) for t in prose])
+        middle = np.median(order)
+        spread = np.median(np.abs(order - middle)) * 1.4826
+        odd = {t for t, o in zip(prose, order) if o < middle - max(5 * spread, 0.8)}
+        prose = [t for t in prose if t not in odd]
+        flow = Flow(prose, words)
+        labelled = [(t, 0 if t in odd else y) for t, y in labelled]
+    made = [*labelled, *mixed(prose, junk, len(labelled), rng)]
     x = np.array([figures_of(t, words, flow) for t, _ in made], float).reshape(-1, len(NAMES))
     return x, np.array([y for _, y in made], float), flow
 
 
-def train(documents: DataFrame, words: frozenset, sample: int = SAMPLE) -> tuple[Trees, Flow]:
-    """Trees fitted on at most `sample` texts that a hash picks evenly, calibrated on the holdout. Without texts of both kinds the holdout alone is used."""
+def measured(documents: DataFrame, key: str, text: str, words: frozenset) -> DataFrame:
+    """(key, text, h, first, label, the figures of NAMES but the last), written once. Equal texts lie together: `first` marks one of them, and their figures are computed once."""
+    spark = documents.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(batches):
+        known, before, figures, label = shared.value, None, None, None
+        for b in batches:
+            out, first, labels = [], [], []
+            for t in b.column(1).to_pylist():
+                first.append(figures is None or t != before)
+                if first[-1]:
+                    before, figures = t, statistics(t, known)
+                    label = weak_label(figures)
+                out.append(figures)
+                labels.append(label)
+            x = np.array(out, float).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.bool_()), pa.array(labels, pa.int32()), *(pa.array(x[:, j]) for j in range(len(NAMES) - 1))], names=[key, "text", "h", "first", "label", *NAMES[:-1]])
+
+    rows = documents.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    lying = rows.repartition(parallelism(spark), "h").sortWithinPartitions("h", "text")
+    path = scratch(spark, "measured")
+    lying.mapInArrow(run, f"`{key}` long, text string, h long, first boolean, label int, " + ", ".join(f"{n} double" for n in NAMES[:-1])).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _counted(texts: DataFrame, run, schema: str, by: list[str]) -> list:
+    """What run counts in each task, added up. Of a bounded number of different values."""
+    return texts.mapInArrow(run, schema + ", n long").groupBy(*by).agg(F.sum("n").alias("n")).collect()
+
+
+def _pairs_of(prose: DataFrame, words: frozenset, keep) -> Counter:
+    """How often each pair of words stands in the texts that keep() lets through."""
+
+    def run(batches):
+        flow, pairs = Flow([], words), Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if keep is None or keep(t):
+                    pairs.update(flow.pairs(t))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([c for _, c in pairs], pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
+
+    return Counter({(r["a"], r["b"]): r["n"] for r in _counted(prose, run, "a string, b string", ["a", "b"])})
+
+
+def _middle(values: np.ndarray, times: np.ndarray) -> float:
+    """The median of values that come so many times."""
+    order = np.argsort(values)
+    run = np.cumsum(times[order])
+    return float(values[order][np.searchsorted(run, run[-1] / 2)])
+
+
+def _word_order(prose: DataFrame, words: frozenset) -> tuple[Flow, float | None, Flow]:
+    """The word order of all texts of the form of prose, the mean below which such a text is rubbish (None: none is, or too few texts to say), and the word order without these."""
+    pairs = _pairs_of(prose, words, None)
+    flow = Flow([], words, pairs)
+
+    def run(batches):
+        orders = Counter()
+        for b in batches:
+            orders.update(round(flow.of(t) * _FINE) for t in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(orders), pa.int64()), pa.array(list(orders.values()), pa.int64())], names=["o", "n"])
+
+    found = _counted(prose, run, "o long", ["o"])
+    if sum(r["n"] for r in found) < 20:
+        return flow, None, flow
+    values, times = np.array([r["o"] for r in found]) / _FINE, np.array([r["n"] for r in found])
+    middle = _middle(values, times)
+    border = middle - max(5 * _middle(np.abs(values - middle), times) * 1.4826, 0.8)
+    if values.min() > border + 1 / _FINE:
+        return flow, None, flow
+    odd = _pairs_of(prose, words, lambda t: flow.of(t) < border)
+    return flow, border, Flow([], words, pairs - odd)
+
+
+def _significant(x: np.ndarray) -> np.ndarray:
+    """Three digits of each figure, for counting them."""
+    size = 10.0 ** (np.floor(np.log10(np.maximum(np.abs(x), 1e-9))) - 2)
+    return np.round(x / size) * size
+
+
+def _block(words: frozenset, shared):
+    """The labelled rows of a block of texts, and what is made of them."""
+
+    def run(part: pa.Table) -> pa.Table:
+        rough, border, flow = shared.value
+        part = part.sort_by([("h", "ascending"), ("text", "ascending")])
+        rng = np.random.default_rng([7, part.column("block")[0].as_py()])
+        texts, y = part.column("text").to_pylist(), part.column("label").to_numpy().astype(float)
+        odd = np.array([border is not None and k == 1 and rough.of(t) < border for t, k in zip(texts, y)])
+        prose, junk = [t for t, k, o in zip(texts, y, odd) if k == 1 and not o], [t for t, k in zip(texts, y) if k == 0 and t.strip()]
+        made = mixed(prose, junk, len(texts), rng)
+        x = np.stack([*(part.column(n).to_numpy() for n in NAMES[:-1]), np.array([flow.of(t) for t in texts])], axis=1)
+        x = np.concatenate([x, np.array([figures_of(t, words, flow) for t, _ in made], float).reshape(-1, len(NAMES))])
+        y = np.concatenate([np.where(odd, 0.0, y), np.array([k for _, k in made], float)])
+        return pa.table([pa.array(y), *(pa.array(x[:, j]) for j in range(len(NAMES)))], names=["label", *NAMES])
+
+    return run
+
+
+def _matrix(b) -> np.ndarray:
+    return np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in NAMES], axis=1) if b.num_rows else np.zeros((0, len(NAMES)))
+
+
+def _edges(rows: DataFrame, bins: int) -> list[np.ndarray]:
+    """Borders of the bins: quantiles of all rows, of figures to three digits."""
+
+    def run(batches):
+        counts = Counter()
+        for b in batches:
+            x = _significant(_matrix(b))
+            for j in range(x.shape[1]):
+                v, n = np.unique(x[:, j], return_counts=True)
+                counts.update({(j, float(a)): int(k) for a, k in zip(v, n)})
+        yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in counts], pa.int32()), pa.array([v for _, v in counts], pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["j", "v", "n"])
+
+    held: dict[int, list[tuple[float, int]]] = {}
+    for r in _counted(rows, run, "j int, v double", ["j", "v"]):
+        held.setdefault(r["j"], []).append((r["v"], r["n"]))
+    out = []
+    for j in range(len(NAMES)):
+        found = sorted(held.get(j, []))
+        run_up = np.cumsum([n for _, n in found])
+        at = np.searchsorted(run_up, np.linspace(0, 1, bins + 1)[1:-1] * run_up[-1])
+        out.append(np.unique(np.array([v for v, _ in found])[at]))
+    return out
+
+
+def _node(x: np.ndarray, feature: np.ndarray, cuts: np.ndarray, levels: int) -> np.ndarray:
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(levels):
+        f = feature[node]
+        node = np.where(f < 0, node, np.where(x[rows, np.maximum(f, 0)] <= cuts[node], 2 * node + 1, 2 * node + 2))
+    return node
+
+
+def _slopes(block, base: float, feature: np.ndarray, cuts: np.ndarray, nodes: list[int], bins: int) -> np.ndarray:
+    """A block's sums for Trees.grow(), in whole numbers, so that their order is of no account."""
+    x, y, score = block
+    place = np.full(len(feature), -1)
+    place[nodes] = np.arange(len(nodes))
+    which = place[_node(x, feature, cuts, (nodes[0] + 1).bit_length() - 1)]
+    x, y, score, which = (v[which >= 0] for v in (x, y, score, which))
+    p = 1 / (1 + np.exp(-(score + base)))
+    at = ((which[:, None] * len(NAMES) + np.arange(len(NAMES))) * bins + x).ravel()
+    return np.stack([np.bincount(at, np.repeat(w, len(NAMES)), len(nodes) * len(NAMES) * bins) for w in (np.rint((y - p) * _UNIT), np.rint(p * (1 - p) * _UNIT), np.ones(len(y)))], axis=-1).reshape(len(nodes), len(NAMES), bins, 3)
+
+
+def boosted(rows: DataFrame) -> Trees:
+    """Trees fitted on all rows (label, NAMES), which stay where they are: a level of a tree is one pass that gives sums of bins."""
+    model, context = Trees(), rows.sparkSession.sparkContext
+    total, up = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+    edges = _edges(rows, model.bins)
+
+    def binned(batches):
+        xs, ys = [], []
+        for b in batches:
+            x = _matrix(b)
+            xs.append(np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8))
+            ys.append(b.column("label").to_numpy(zero_copy_only=False))
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(xs).tobytes()], pa.binary()), pa.array([np.concatenate(ys).astype(np.uint8).tobytes()], pa.binary())], names=["x", "y"])
+
+    def opened(r):
+        y = np.frombuffer(r["y"], np.uint8)
+        return np.frombuffer(r["x"], np.uint8).reshape(-1, len(NAMES)), y, np.zeros(len(y))
+
+    blocks = rows.repartition(max(context.defaultParallelism, -(-total // ROWS))).mapInArrow(binned, "x binary, y binary").rdd
+    state, old = blocks.map(opened).persist(StorageLevel.MEMORY_AND_DISK), None
+
+    def sums(trees, tree, nodes):
+        nonlocal state, old
+        if nodes is None:
+            feature, cuts, value = tree
+            old, state = state, state.map(lambda b: (b[0], b[1], b[2] + value[_node(b[0], feature, cuts, trees_depth)])).persist(StorageLevel.MEMORY_AND_DISK)
+            return None
+        (feature, cuts), base, bins = tree, trees.base, trees.bins
+        got = state.map(lambda b: _slopes(b, base, feature, cuts, nodes, bins)).reduce(np.add)
+        if old is not None:
+            old.unpersist()
+            old = None
+        return got
+
+    trees_depth = model.depth
+    model.grow(edges, (total, up), sums)
+    state.unpersist()
+    if old is not None:
+        old.unpersist()
+    return model
+
+
+def learn(figured: DataFrame, words: frozenset) -> tuple[Trees, Flow]:
+    """Trees fitted on all texts of measured() with a weak label, each counted once, calibrated on the holdout. Without texts of both kinds the holdout is fitted too."""
+    from lamina.llm.quality_holdout import HOLDOUT
+
+    spark = figured.sparkSession
+    texts = figured.where("first and label is not null and length(text) > 0")
+    orders = _word_order(texts.where("label = 1").select("text"), words)
+    flow = orders[-1]
+    hx = np.array([figures_of(t, words, flow) for t, _ in HOLDOUT], float)
+    hy = np.array([p for _, p in HOLDOUT], float)
+    n, chars = texts.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    if not n:
+        return Trees().fit(hx, hy).calibrate(hx, hy), flow
+    blocks = max(-(-n // BLOCK), -(-chars // BLOCK_CHARS))
+    schema, path = "label double, " + ", ".join(f"{x} double" for x in NAMES), scratch(spark, "rows")
+    placed = texts.select(F.pmod("h", F.lit(blocks)).alias("block"), "h", "text", "label", *NAMES[:-1])
+    placed.groupBy("block").applyInArrow(_block(words, spark.sparkContext.broadcast(orders)), schema).write.parquet(path)
+    rows = spark.read.parquet(path)
+    if len(rows.select("label").distinct().limit(2).collect()) < 2:
+        rows = rows.unionByName(spark.createDataFrame([(float(k), *map(float, x)) for k, x in zip(hy, hx)], schema))
+    model = boosted(rows).calibrate(hx, hy)
+    remove(spark, path)
+    return model, flow
+
+
+def train(documents: DataFrame, words: frozenset, sample: int | None = None) -> tuple[Trees, Flow]:
+    """Trees fitted on all texts, calibrated on the holdout; see learn(). sample: on at most so many texts instead, which a hash picks evenly and which are fitted on the driver."""
     from lamina.llm.quality_holdout import HOLDOUT
 
+    if sample is None:
+        return learn(measured(documents.select(F.lit(None).alias("id"), "text"), "id", "text", words), words)
     # The least hashes of all texts: a sample of fixed size and even, whatever the table's size; texts beyond 20,000 characters stay out of it.
     # Copies count once: the border is sought among different hashes, and only texts up to it are grouped.
     texts = documents.where("text is not null and length(text) between 1 and 20000").select("text", F.xxhash64("text").alias("h"))
@@ -352,6 +622,22 @@ def assess(documents: DataFrame, key: str, text: str, words: frozenset, model: t
     return spread(documents.select(F.col(key).cast("long"), F.col(text))).mapInArrow(run, f"`{key}` long, " + ", ".join(f"{n} double" for n in NAMES) + ", prose double, natural boolean")
 
 
+def judged(figured: DataFrame, key: str, model: tuple[Trees, Flow]) -> DataFrame:
+    """assess() of the rows of measured(), whose figures are there."""
+    shared = figured.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        trees, flow = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([*(b.column(n).to_numpy() for n in NAMES[:-1]), np.array([flow.of(t) for t in b.column(1).to_pylist()])], axis=1)
+            p = np.where(x[:, 1] > 0, trees.probability(x), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1])), pa.array(p), pa.array(p >= 0.5)], names=[key, *NAMES, "prose", "natural"])
+
+    return figured.select(key, "text", *NAMES[:-1]).mapInArrow(run, f"`{key}` long, " + ", ".join(f"{n} double" for n in NAMES) + ", prose double, natural boolean")
+
+
 def common_words(spark: SparkSession, folder: str) -> frozenset:
     """The function words of all languages: a fixed table of hundreds, read with a limit it must not reach. A text's stated language may be wrong, so all count for all."""
     rows = table(spark, folder, "common_words").select(F.lower("word")).where("word is not null").distinct().limit(100_001).collect()
@@ -362,7 +648,8 @@ def common_words(spark: SparkSession, folder: str) -> frozenset:
 
 def p10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, words = table(spark, folder, "documents").select("doc_id", "text"), common_words(spark, folder)
-    return assess(docs, "doc_id", "text", words, train(docs, words))
+    figured = measured(docs, "doc_id", "text", words)
+    return judged(figured, "doc_id", learn(figured, words))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

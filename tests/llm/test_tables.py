@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,27 @@ def test_quality_sample_is_of_different_texts(spark, monkeypatch):
     assert seen[0] == seen[1] and len(set(seen[1])) == 20
 
 
+def test_quality_reads_every_text(spark):
+    words = frozenset(["the", "and", "was", "of", "zebra", "quagga"])
+    prose = "The man was glad of the rain and the sea was calm and the road of the old town was wet."
+    long = " ".join(f"The zebra quagga was at the end of road and the man of town was glad number {i}." for i in range(400))
+    docs = spark.createDataFrame([(prose,), (long,), ("- a\n- b\n- c",)], "text string")
+    assert len(long) > 20_000
+    model, flow = quality.train(docs, words)
+    assert ("zebra", "quagga") in flow.chance and len(model.trees) == model.rounds
+
+
+def test_quality_trees_of_rows_that_lie_apart(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(1, 9, (900, len(quality.NAMES))), 2)
+    y = (x[:, 0] + x[:, 3] > 10).astype(float)
+    rows_ = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], "label double, " + ", ".join(f"{n} double" for n in quality.NAMES))
+    one, other = quality.boosted(rows_.repartition(3)), quality.boosted(rows_.repartition(7))
+    assert np.array_equal(one.score(x), other.score(x))
+    assert ((one.probability(x) >= 0.5) == y).mean() > 0.97
+    assert np.corrcoef(one.score(x), quality.Trees().fit(x, y).score(x))[0, 1] > 0.99
+
+
 def test_quality_tables(spark):
     words = frozenset(["the", "and", "is"])
     docs = spark.createDataFrame([(1, "The host is clean and the file is gone."), (2, None), (3, ""), (3, "..."), (4, "- a\n- b")], "doc_id long, text string")
