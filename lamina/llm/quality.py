@@ -26,7 +26,7 @@ NAMES = (
     "distinct_words", "letter_words", "bullet_share", "stamp_share", "label_share", "table_share", "code_share", "plain_share", "sentence_share", "loose_share", "sentence_length", "longest_word", "commas", "wrapped_share", "flow",
 )
 #: Texts and characters that are mixed with each other in one task, about; rows that a task of the fit holds.
-BLOCK, BLOCK_CHARS, ROWS = 4000, 16_000_000, 500_000
+BLOCK, BLOCK_CHARS, ROWS = 1000, 4_000_000, 500_000
 #: Parts of one in which slopes are added up, and of a bit in which word orders are counted.
 _UNIT, _FINE = 1 << 20, 10_000
 
@@ -319,8 +319,8 @@ def weak_label(figures: list[float]) -> int | None:
     return None
 
 
-def mixed(prose: list[str], junk: list[str], times: int, rng: np.random.Generator) -> list[tuple[str, int]]:
-    """Labelled texts made of prose and of junk; `times` pairs are tried."""
+def mixed(prose: list[str], junk: list[str], times: int | None, rng: np.random.Generator) -> list[tuple[str, int]]:
+    """Labelled texts made of prose and of junk; `times` pairs are drawn, or else as many as it takes for each text to have its turn."""
     made = []
     for t in prose:
         if rng.integers(3) == 0:
@@ -329,8 +329,11 @@ def mixed(prose: list[str], junk: list[str], times: int, rng: np.random.Generato
             width = int(rng.integers(6, 40))
             made.append(("\n".join(" ".join(parts[i : i + width]) for i in range(0, len(parts), width)), 0))
     if prose and junk:
-        for _ in range(times):
-            a, b = prose[rng.integers(len(prose))], junk[rng.integers(len(junk))]
+        turns = max(len(prose), len(junk))
+        in_turn = zip(*(np.resize(rng.permutation(len(x)), turns) for x in (prose, junk)))
+        drawn = in_turn if times is None else ((rng.integers(len(prose)), rng.integers(len(junk))) for _ in range(times))
+        for i, j in drawn:
+            a, b = prose[i], junk[j]
             share = rng.uniform(0.05, 0.95)
             # Cut the longer part so that the prose has about that share.
             a = a[: max(1, int(min(len(a), share / (1 - share) * len(b))))]
@@ -455,7 +458,7 @@ def _block(words: frozenset, shared):
         texts, y = part.column("text").to_pylist(), part.column("label").to_numpy().astype(float)
         odd = np.array([border is not None and k == 1 and rough.of(t) < border for t, k in zip(texts, y)])
         prose, junk = [t for t, k, o in zip(texts, y, odd) if k == 1 and not o], [t for t, k in zip(texts, y) if k == 0 and t.strip()]
-        made = mixed(prose, junk, len(texts), rng)
+        made = mixed(prose, junk, None, rng)
         x = np.stack([*(part.column(n).to_numpy() for n in NAMES[:-1]), np.array([flow.of(t) for t in texts])], axis=1)
         x = np.concatenate([x, np.array([figures_of(t, words, flow) for t, _ in made], float).reshape(-1, len(NAMES))])
         y = np.concatenate([np.where(odd, 0.0, y), np.array([k for _, k in made], float)])
@@ -570,7 +573,7 @@ def learn(figured: DataFrame, words: frozenset) -> tuple[Trees, Flow]:
         return Trees().fit(hx, hy).calibrate(hx, hy), flow
     blocks = max(-(-n // BLOCK), -(-chars // BLOCK_CHARS))
     schema, path = "label double, " + ", ".join(f"{x} double" for x in NAMES), scratch(spark, "rows")
-    placed = texts.select(F.pmod("h", F.lit(blocks)).alias("block"), "h", "text", "label", *NAMES[:-1])
+    placed = texts.select(F.pmod("h", F.lit(blocks)).alias("block"), "h", "text", "label", *NAMES[:-1]).repartition(parallelism(spark), "block")
     placed.groupBy("block").applyInArrow(_block(words, spark.sparkContext.broadcast(orders)), schema).write.parquet(path)
     rows = spark.read.parquet(path)
     if len(rows.select("label").distinct().limit(2).collect()) < 2:
